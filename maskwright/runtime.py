@@ -45,6 +45,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Inputs up to so many bytes are dealt out to all cores if their files are fewer than the cores.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small scan in at least as many partitions as cores; larger ones are read as their files lie, without a shuffle."""
+    execution = df._jdf.queryExecution()
+    size = int(execution.optimizedPlan().stats().sizeInBytes())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if size > SPREAD_BYTES or execution.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def is_ascii(c) -> "F.Column":
     """True where the string has ASCII characters alone; null stays null."""
     return ~F.col(c).rlike(r"[^\x00-\x7F]") if isinstance(c, str) else ~c.rlike(r"[^\x00-\x7F]")
