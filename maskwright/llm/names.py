@@ -139,12 +139,12 @@ def split_company(text: str) -> tuple[str, str]:
 
 
 def same_given(a: str, b: str) -> bool:
-    """Given names agree: an initial (or a missing name) agrees with its name, two full names may differ by a typo."""
+    """Given names of one family agree: by their initial, unless both are known names and differ, or up to a typo."""
     if not a or not b:
         return False
-    if len(a) == 1 or len(b) == 1:
-        return a[0] == b[0]
-    return a == b or (lcs_ratio(a, b) >= 0.8 and not (a in _GIVEN and b in _GIVEN))
+    if a in _GIVEN and b in _GIVEN:
+        return a == b
+    return a[0] == b[0] or (len(a) > 1 and len(b) > 1 and lcs_ratio(a, b) >= 0.8)
 
 
 def same_line(a: str, b: str) -> bool:
