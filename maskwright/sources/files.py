@@ -177,13 +177,23 @@ def _image_text(content: bytes, language: str) -> str:
 
 
 def _pdf_text(content: bytes) -> str:
+    """The text layer; a PDF library is used where one is installed."""
     try:
         import pypdf
-    except ImportError as e:
-        raise RuntimeError("no PDF reader is installed") from e
+    except ImportError:
+        from maskwright.sinks.pdf import pdf_text
+
+        return pdf_text(content)
     return "\n".join(page.extract_text() for page in pypdf.PdfReader(io.BytesIO(content)).pages)
 
 
+def capabilities() -> dict[str, bool]:
+    """What this machine can do beyond plain text, workbooks and simple PDF files."""
+    from importlib.util import find_spec
+
+    return {"ocr": available("tesseract"), "pdf_render": find_spec("pypdfium2") is not None, "pdf_library": find_spec("pypdf") is not None, "onnx": find_spec("onnxruntime") is not None}
+
+
 def extract_text(content: bytes, kind: str, language: str = "eng") -> str:
     """Text of one file; raises what is wrong with it. Plain text must be valid UTF-8."""
     if kind == "Xlsx":
