@@ -14,7 +14,7 @@ from maskwright.operators import resolve
 from maskwright.operators.rules import Rule, RuleStore, active_rules, test_pattern
 from maskwright.operators.tables import output_path
 from maskwright.plans.pipeline import detect, detection_rows
-from maskwright.runtime import cut, get_spark
+from maskwright.runtime import cut, exploded, get_spark
 from maskwright.sinks.files import write_texts
 from maskwright.sources import files
 
@@ -63,7 +63,7 @@ def process(args: argparse.Namespace) -> dict:
     spark = get_spark()
     config = files.Config.load(os.path.join(args.folder, CONFIG))
     texts = cut(files.read_texts(files.list_files(spark, args.path, args.recursive)).where("error IS NULL"))
-    found = cut(detect(texts, rules=active_rules(_rules(args.folder))).select("path", F.explode("detections").alias("d")).select("path", "d.*"))
+    found = cut(exploded(detect(texts, rules=active_rules(_rules(args.folder))), ["path"], F.col("detections")).select("path", "d.*"))
     store = files.read_store(spark, os.path.join(args.folder, MAPPINGS), resolve.MAPPING)
     ignored = files.read_store(spark, os.path.join(args.folder, IGNORED), resolve.IGNORED)
     resolved = cut(resolve.resolve(resolve.drop_ignored(found, ignored), resolve.current_mappings(store)))

@@ -66,6 +66,9 @@ _TITLE_SHAPE = re.compile(r"c[cC]{2}|c[cC](?![cCoO])")
 _CAPS_SHAPE = re.compile(r"[xf]x{2}|[xf]x(?![xo])")
 #: Letters: d all digits, C capitalised.
 _ADDRESS_SHAPE = re.compile(r"dC{1,3}")
+#: What every line with a find has: two words in a row, punctuation aside, of which the second begins with a capital and
+#: the first with a capital or a digit.
+_HINT = re.compile(r"(?<!\S)[^\Wa-z_]\S*\s+(?:(?:[^\w\s]|_)+\s+)*[^\Wa-z\d_]")
 _BAD_IN_NAME = re.compile(r"[^\x00-\x7F]|[.&]|XXXX|xxxx")
 _BAD_IN_ADDRESS = re.compile(r"[^\x00-\x7F]|&")
 
@@ -90,6 +93,9 @@ def find_names(text: str, common: frozenset[str] = COMMON_WORDS, organisations:
     found: list[tuple[int, int, str]] = []
     base = 0
     for line in text.split("\n"):
+        if _HINT.search(line) is None:
+            base += len(line) + 1
+            continue
         words = line_words(line)
         low = [w[2].lower() for w in words]
         known, company = [w in common for w in low], [w in organisations for w in low]

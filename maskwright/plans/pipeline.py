@@ -16,7 +16,7 @@ from maskwright.operators.names import dictionary_detector
 from maskwright.operators.resolve import drop_ignored, resolve, resolve_inline
 from maskwright.operators.rules import DETECTIONS, BUILT_IN, Rule, scan_rules, with_context
 from maskwright.operators.spans import apply_replacements, merge_spans, propagate_persons
-from maskwright.runtime import cut
+from maskwright.runtime import cut, exploded
 
 Detector = Callable[[Column], Column]
 
@@ -38,7 +38,7 @@ def detect(documents: DataFrame, text: str = "text", rules: tuple[Rule, ...] = B
 def detection_rows(detected: DataFrame, key: list[str], text: str = "text", context: bool = True) -> DataFrame:
     """One row per detection: key, offsets in code points and bytes, matched text, type, rule and context."""
     item = (lambda d: with_context(d, F.col(text))) if context else (lambda d: d)
-    rows = detected.select(*key, text, F.explode(F.transform("detections", item)).alias("d"))
+    rows = exploded(detected, [*key, text], F.transform("detections", item))
     cols = ["matched_text", "entity_type", "rule_name", "start", "end", *(["context"] if context else [])]
     return rows.select(*key, *(F.col(f"d.{c}").alias(c) for c in cols), byte_offset(F.col(text), F.col("d.start")).alias("start_byte"), byte_offset(F.col(text), F.col("d.end")).alias("end_byte"))
 
@@ -55,7 +55,7 @@ def anonymise_with_stores(documents: DataFrame, key: str, mappings: DataFrame, i
     The documents meet their resolved spans again by key; texts without spans take no part in the shuffle of spans.
     """
     found = detect(documents, text, rules, detectors)
-    rows = cut(found.select(F.col(key), F.explode("detections").alias("d")).select(key, "d.*"))  # read by both sides of the cover join
+    rows = cut(exploded(found, [key], F.col("detections")).select(key, "d.*"))  # read by both sides of the cover join
     resolved = resolve(drop_ignored(rows, ignored), mappings)
     spans = resolved.groupBy(key).agg(F.collect_list(F.struct("start", "end", "replacement", F.lit(True).alias("accepted"))).alias("spans"))
     joined = documents.select(key, text).join(spans, key, "left")

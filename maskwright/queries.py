@@ -11,7 +11,7 @@ from maskwright.functions import covers
 from maskwright.functions.text import byte_offset, can_be_empty, context_of, let, match_spans, utf16_offset
 from maskwright.operators import names, pages, resolve, rules, spans, tables
 from maskwright.plans import pipeline
-from maskwright.runtime import spread, table
+from maskwright.runtime import exploded, spread, table
 from maskwright.sources import files as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rule(rule: rules.Rule) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = corpus(spark, sf_dir).select(*KEY, F.explode(rules.rule_spans(F.col("text"), rule)).alias("d"))
+        found = exploded(corpus(spark, sf_dir), KEY, rules.rule_spans(F.col("text"), rule))
         return found.select(*KEY, "d.start", "d.end", "d.matched_text")
 
     return run
@@ -43,7 +43,7 @@ def _by_name(name: str) -> rules.Rule:
 
 
 def phone_toll_free(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = corpus(spark, sf_dir).select(*KEY, F.explode(match_spans(F.col("text"), _by_name("Phone (US)").pattern)).alias("d"))
+    found = exploded(corpus(spark, sf_dir), KEY, match_spans(F.col("text"), _by_name("Phone (US)").pattern))
     return found.select(*KEY, "d.start", "d.matched_text", rules.is_toll_free(F.col("d.matched_text")).alias("toll_free"))
 
 
@@ -59,12 +59,12 @@ def custom_rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules of the rule table that are enabled and have a pattern that can't match nothing, over all texts."""
     held = table(spark, sf_dir, "rules").where("enabled AND pattern IS NOT NULL").orderBy("name").collect()
     own = [rules.Rule(r["name"], "CUSTOM", r["pattern"]) for r in held if not can_be_empty(r["pattern"])]
-    found = corpus(spark, sf_dir).select(*KEY, F.explode(F.concat(*(rules.rule_spans(F.col("text"), r, i) for i, r in enumerate(own)))).alias("d"))
+    found = exploded(corpus(spark, sf_dir), KEY, F.concat(*(rules.rule_spans(F.col("text"), r, i) for i, r in enumerate(own))))
     return found.select(*KEY, "d.rule_name", "d.start", "d.end", "d.matched_text")
 
 
 def pattern_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = corpus(spark, sf_dir).select(*KEY, F.explode(rules.test_pattern(F.col("text"), MEMBER)).alias("d"))
+    found = exploded(corpus(spark, sf_dir), KEY, rules.test_pattern(F.col("text"), MEMBER))
     return found.select(*KEY, "d.entity_type", "d.start", "d.end", "d.matched_text")
 
 
@@ -73,7 +73,7 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scanned(spark, sf_dir).select(F.explode("detections").alias("d"))
+    rows = exploded(_scanned(spark, sf_dir), [], F.col("detections"))
     return rows.groupBy("d.entity_type", "d.rule_name").agg(F.count("*").alias("detections"), F.countDistinct("d.matched_text").alias("values"))
 
 
@@ -87,7 +87,7 @@ def texts_with_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = _by_name("Email")
-    return corpus(spark, sf_dir).select(*KEY, "text", F.explode(rules.rule_spans(F.col("text"), rule)).alias("d"))
+    return exploded(corpus(spark, sf_dir), [*KEY, "text"], rules.rule_spans(F.col("text"), rule))
 
 
 def context_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ def offset_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = _scanned(spark, sf_dir).select(*KEY, F.explode(spans.merge_spans(F.col("detections"))).alias("d"))
+    merged = exploded(_scanned(spark, sf_dir), KEY, spans.merge_spans(F.col("detections")))
     return merged.select(*KEY, "d.start", "d.end", "d.rule_name", "d.matched_text")
 
 
@@ -171,7 +171,7 @@ def rewrite_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = corpus(spark, sf_dir).select(*KEY, F.explode(names.name_words(F.col("text"))).alias("w"))
+    words = exploded(corpus(spark, sf_dir), KEY, names.name_words(F.col("text")), "w")
     return words.select(*KEY, "w.line", "w.word", "w.capitalised", "w.all_caps", "w.sentence_start")
 
 
@@ -180,7 +180,7 @@ def common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def names_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = corpus(spark, sf_dir).select(*KEY, F.explode(names.dictionary_detector()(F.col("text"))).alias("d"))
+    found = exploded(corpus(spark, sf_dir), KEY, names.dictionary_detector()(F.col("text")))
     return found.select(*KEY, "d.start", "d.end", "d.entity_type", "d.matched_text")
 
 
@@ -197,7 +197,7 @@ def anonymise_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anonymise_with_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     stored = resolve.current_mappings(table(spark, sf_dir, "mappings"))
     return pipeline.anonymise_with_stores(docs, "doc_id", stored, table(spark, sf_dir, "ignored_entities")).select("doc_id", "accepted", "output_text")
 
@@ -243,7 +243,7 @@ def bio_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pages.decode_bio(F.col("text"), labels, F.transform(words, lambda w: F.struct(w["start"], w["end"])), F.array(F.lit("O"), F.lit("B-PER"), F.lit("I-PER")))
 
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", F.explode(let(match_spans(F.col("text"), r"[^ \n]+"), decoded)).alias("d")).select("doc_id", "d.start", "d.end", "d.entity_type", "d.matched_text")
+    return exploded(spread(docs.select("doc_id", "text")), ["doc_id"], let(match_spans(F.col("text"), r"[^ \n]+"), decoded)).select("doc_id", "d.start", "d.end", "d.entity_type", "d.matched_text")
 
 
 def _hocr() -> F.Column:
@@ -254,7 +254,7 @@ def _hocr() -> F.Column:
 
 def hocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "ocr_words").where("text IS NOT NULL")
-    return w.select("word_id", F.explode(pages.parse_hocr(_hocr())).alias("p")).select("word_id", "p.text", "p.x", "p.y", "p.w", "p.h")
+    return exploded(w, ["word_id"], pages.parse_hocr(_hocr()), "p").select("word_id", "p.text", "p.x", "p.y", "p.w", "p.h")
 
 
 def _page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,7 +266,7 @@ def _page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = pages.page_matches(F.col("words.text"), F.lit(PHRASE))
     n = F.lit(len(PHRASE.split()))
-    found = _page_words(spark, sf_dir).select("scan_id", "page", "words", F.explode(at).alias("at"))
+    found = exploded(_page_words(spark, sf_dir), ["scan_id", "page", "words"], at, "at")
     return found.select("scan_id", "page", "at", pages.redaction_box(F.col("words"), F.col("at"), n).alias("b")).select("scan_id", "page", "at", "b.x", "b.y", "b.w", "b.h")
 
 

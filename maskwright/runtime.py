@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -59,6 +59,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
-def is_ascii(c) -> "F.Column":
+def exploded(df: DataFrame, keep: list[str], array: Column, name: str = "d") -> DataFrame:
+    """One row per element of a computed array.
+
+    From a plain explode the optimiser infers a filter on the array's size and evaluates the whole expression a second
+    time below it; an outer one with its nulls dropped is evaluated once.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def is_ascii(c: str | Column) -> Column:
     """True where the string has ASCII characters alone; null stays null."""
     return ~F.col(c).rlike(r"[^\x00-\x7F]") if isinstance(c, str) else ~c.rlike(r"[^\x00-\x7F]")

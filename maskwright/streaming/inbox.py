@@ -8,6 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from maskwright.operators.resolve import upsert_mappings
 from maskwright.plans.pipeline import anonymise
+from maskwright.runtime import exploded
 
 
 def read_inbox(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -21,7 +22,7 @@ def anonymise_stream(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def detection_counts(detected: DataFrame, time: str, window: str = "1 day", late: str = "30 days") -> DataFrame:
     """(window_start, entity_type, detections) over event time; rows later than the watermark are dropped by the engine."""
-    rows = detected.withWatermark(time, late).select(time, F.explode("detections").alias("d"))
+    rows = exploded(detected.withWatermark(time, late), [time], F.col("detections"))
     return rows.groupBy(F.window(time, window).start.alias("window_start"), F.col("d.entity_type").alias("entity_type")).agg(F.count("*").alias("detections"))
 
 
