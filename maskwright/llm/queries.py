@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import copies, leakage, lookalikes, packing, personal, places, repetition, scans, variants
-from maskwright.runtime import is_ascii, table
+from maskwright.runtime import is_ascii, spread, table
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def _free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     det = table(spark, sf_dir, "detections")
     around = det.select(F.lit("context").alias("src"), F.col("det_id").alias("row_id"), F.col("context").alias("text"), F.col("matched_text").alias("inside"))
     lines = det.where("entity_type = 'FREE_TEXT'").select(F.lit("matched").alias("src"), F.col("det_id").alias("row_id"), F.col("matched_text").alias("text"), none)
-    return files.unionByName(around).unionByName(lines)
+    return spread(files.unionByName(around).unionByName(lines))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def p7_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.leaked_passages(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition_share(table(spark, sf_dir, "documents"))
+    return repetition.repetition_share(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
