@@ -93,30 +93,38 @@ def layout(lines: list[str], breaks: list[bool]) -> list[str]:
     return kinds
 
 
+_STOP = frozenset(".?!")
+
+
 def body_tokens(lines: list[str], kinds: list[str]) -> list[tuple[int, int, str, str, bool]]:
     """(line, index in line, whole token, joined form or '', begins a sentence) of the running text, words over two lines joined."""
-    tokens: list[list] = []
-    fresh, waiting = True, None
+    tokens: list[tuple[int, int, str, str, bool]] = []
+    fresh, waiting = True, False  # waiting: the last token is the first half of a broken word
     for i, s in enumerate(lines):
         if kinds[i] != "body":
-            fresh = fresh or kinds[i] == "blank" and waiting is None
+            fresh = fresh or (kinds[i] == "blank" and not waiting)
             continue
-        found = list(TOKEN.finditer(s))
-        for k, m in enumerate(found):
-            word = m.group().rstrip("-")
-            if waiting is not None:
-                first, waiting = waiting, None
-                if k == 0 and s[: m.start()].strip() == "" and word[0].islower() | word[0].isdigit():
-                    first[3] = first[2] + "-" + word
+        at, k, last = 0, -1, None
+        for k, m in enumerate(TOKEN.finditer(s)):
+            last = m
+            a, b = m.span()
+            word = m.group()
+            gap = s[at:a]
+            at = b
+            if word[-1] == "-":
+                word = word.rstrip("-")
+            if waiting:
+                waiting = False
+                if k == 0 and (not gap or gap.isspace()) and (word[0].islower() or word[0].isdigit()):
+                    li, lk, lw, _, ls = tokens[-1]
+                    tokens[-1] = (li, lk, lw, f"{lw}-{word}", ls)
                     continue
-            gap = s[found[k - 1].end() : m.start()] if k else s[: m.start()]
-            start = fresh or bool(re.search(r"[.?!]", gap))
-            tokens.append([i, k, word, "", start])
+            tokens.append((i, k, word, "", fresh or not _STOP.isdisjoint(gap)))
             fresh = False
-            if m.group().endswith("-") and k == len(found) - 1 and s[m.end() :].strip() == "" and word.isalnum():
-                waiting = tokens[-1]
-        fresh = bool(re.search(r"[.?!]\W*$", s))
-    return [tuple(t) for t in tokens]
+        if last is not None and last.group()[-1] == "-" and tokens and tokens[-1][:2] == (i, k) and tokens[-1][2].isalnum() and not s[at:].strip():
+            waiting = True
+        fresh = s.rstrip(" \t\"')]")[-1:] in _STOP if s.strip() else fresh
+    return tokens
 
 
 def as_cased(seen: str, meant: str, start: bool) -> str:
@@ -134,21 +142,29 @@ def as_cased(seen: str, meant: str, start: bool) -> str:
 PAGE_ROWS = "src string, doc_id bigint, row_id bigint, line int, pos int, defect string, seen string, halves string, start boolean, before string, after string"
 
 
-def _rows(src: str, doc_id: int, lines: list[str], breaks: list[bool], ids: list[list[tuple[str, int]]] | None) -> Iterator[tuple]:
-    """Furniture rows (repaired text in ``seen``) and body tokens of one document."""
+_NAMES = [c.split()[0] for c in PAGE_ROWS.split(", ")]
+_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()]
+
+
+def _collect(columns: list[list], src: str, doc_id: int, lines: list[str], breaks: list[bool], ids: list[list[tuple[str, int]]] | None) -> None:
+    """Appends furniture (its text in ``seen``) and body tokens of one document to the columns of ``PAGE_ROWS``."""
     kinds = layout(lines, breaks)
     for i, kind in enumerate(kinds):
         if kind in ("header", "page_number"):
-            if ids is None:
-                yield src, doc_id, doc_id, i, 0, kind, lines[i], "", False, "", ""
-            else:
-                for k, (word, word_id) in enumerate(ids[i]):
-                    yield src, doc_id, word_id, i, k, kind, word, "", False, "", ""
+            for k, (word, row) in enumerate([(lines[i], doc_id)] if ids is None else ids[i]):
+                for c, v in zip(columns, (src, doc_id, row, i, k, kind, word, "", False, "", "")):
+                    c.append(v)
     tokens = body_tokens(lines, kinds)
-    low = [(t[3] or t[2]).lower() for t in tokens]
-    for n, (i, k, word, halves, start) in enumerate(tokens):
-        row = doc_id if ids is None else _word_id(lines[i], ids[i], k)
-        yield src, doc_id, row, i, k, "hyphen" if halves else "", word, halves, start, "" if start or not n else low[n - 1], low[n + 1] if n + 1 < len(low) and not tokens[n + 1][4] else ""
+    n = len(tokens)
+    if not n:
+        return
+    line, pos, word, halves, start = map(list, zip(*tokens))
+    low = [(h or w).lower() for w, h in zip(word, halves)]
+    rows = [doc_id] * n if ids is None else [_word_id(lines[i], ids[i], k) for i, k in zip(line, pos)]
+    before = ["" if fresh else w for fresh, w in zip(start, ["", *low])]
+    after = ["" if fresh else w for fresh, w in zip([*start[1:], True], [*low[1:], ""])]
+    for c, values in zip(columns, ([src] * n, [doc_id] * n, rows, line, pos, ["hyphen" if h else "" for h in halves], word, halves, start, before, after)):
+        c.extend(values)
 
 
 def _word_id(line: str, ids: list[tuple[str, int]], k: int) -> int:
@@ -162,16 +178,24 @@ def _word_id(line: str, ids: list[tuple[str, int]], k: int) -> int:
     return ids[-1][1]
 
 
-def _scan_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in PAGE_ROWS.split(", ")]
-    for pdf in batches:
-        for lo in range(0, len(pdf), 200):
-            part = pdf.iloc[lo : lo + 200]
-            out = []
-            for doc_id, text in zip(part["doc_id"], part["text"]):
-                lines = re.split(r"\r\n|\n|\r|\f", text)
-                out += _rows("scan", int(doc_id), lines, [False] * len(lines), None)
-            yield pd.DataFrame(out, columns=names)
+def _batch(columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
+
+
+#: Tokens of one outgoing batch.
+BATCH_TOKENS = 100_000
+
+
+def _scan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    columns: list[list] = [[] for _ in _NAMES]
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            lines = re.split(r"\r\n|\n|\r|\f", text)
+            _collect(columns, "scan", doc_id, lines, [False] * len(lines), None)
+            if len(columns[0]) >= BATCH_TOKENS:
+                yield _batch(columns)
+                columns = [[] for _ in _NAMES]
+    yield _batch(columns)
 
 
 def _word_rows(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -179,15 +203,18 @@ def _word_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     for _, page in pdf.groupby("page", sort=True):
         page = page.sort_values(["y", "x", "word_id"])
         pitch = max(1.0, 0.6 * float(page["h"].median()))
-        row = ((page["y"].diff() > pitch).cumsum()).to_numpy()
-        for k, (_, line) in enumerate(page.groupby(row, sort=True)):
-            line = line.sort_values(["x", "word_id"])
-            words = line["text"].tolist()
-            lines.append(" ".join(words))
+        row = (page["y"].diff() > pitch).cumsum().tolist()
+        held: dict[int, list[tuple[int, int, str]]] = {}
+        for r, x, word_id, text in zip(row, page["x"].tolist(), page["word_id"].tolist(), page["text"].tolist()):
+            held.setdefault(r, []).append((x, word_id, text))
+        for k, r in enumerate(sorted(held)):
+            words = sorted(held[r])
+            lines.append(" ".join(w[2] for w in words))
             breaks.append(k == 0)
-            ids.append(list(zip(words, line["word_id"].astype(int))))
-    names = [c.split()[0] for c in PAGE_ROWS.split(", ")]
-    return pd.DataFrame(list(_rows("word", int(pdf["scan_id"].iloc[0]), lines, breaks, ids)), columns=names)
+            ids.append([(w[2], int(w[1])) for w in words])
+    columns: list[list] = [[] for _ in _NAMES]
+    _collect(columns, "word", int(pdf["scan_id"].iloc[0]), lines, breaks, ids)
+    return pd.DataFrame(dict(zip(_NAMES, columns)), columns=_NAMES)
 
 
 def page_rows(scans: DataFrame, words: DataFrame) -> DataFrame:
@@ -196,7 +223,7 @@ def page_rows(scans: DataFrame, words: DataFrame) -> DataFrame:
     Null and blank texts and words without a scan give no row; words are put in reading order by their boxes, one
     file's words in one group.
     """
-    a = scans.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(_scan_rows, PAGE_ROWS)
+    a = scans.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scan_rows, PAGE_ROWS)
     held = words.where("trim(text) <> '' AND scan_id IS NOT NULL").select("word_id", "scan_id", F.coalesce("page", F.lit(0)).alias("page"), F.trim("text").alias("text"), "x", "y", "h").fillna(0, ["x", "y", "h"])
     return a.unionByName(held.groupBy("scan_id").applyInPandas(_word_rows, PAGE_ROWS))
 
