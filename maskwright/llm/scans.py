@@ -342,12 +342,13 @@ def placed_repairs(scans: DataFrame, words: DataFrame, clean: DataFrame) -> Data
     known = counts.where("v = ''").select(F.col("u").alias("meant"), F.col("n").cast("double").alias("n"))
     plain = F.lower(F.when(F.col("defect") == "hyphen", F.replace("halves", F.lit("-"), F.lit(""))).otherwise(F.col("seen")))
     body = body.withColumn("word", plain).where(F.col("word").rlike("[a-z]"))
-    scanned = body.where("defect = ''").groupBy("word").agg((F.count("*") * SCAN_WEIGHT).alias("scan_n"))
-
-    # every form that stands in the text: whole words, joined halves with and without their hyphen
-    forms = body.select("word").unionByName(body.where("defect = 'hyphen'").select(F.lower("halves").alias("word"))).distinct()
-    own = forms.join(known, forms["word"] == known["meant"], "left").select("word", F.coalesce("n", F.lit(0.0)).alias("own"))
-    vocabulary = known.unionByName(scanned.join(known, scanned["word"] == known["meant"], "left_anti").select(F.col("word").alias("meant"), F.col("scan_n").alias("n")).where(~F.col("meant").rlike("[0-9]")))
+    # every form that stands in the text, counted once: whole words, joined halves with and without their hyphen
+    whole = body.where("defect = ''").groupBy("word").agg(F.count("*").alias("times"))
+    joined = body.where("defect = 'hyphen'").select(F.explode(F.array("word", F.lower("halves"))).alias("word")).groupBy("word").agg(F.lit(0).cast("bigint").alias("times"))
+    forms = cut(whole.unionByName(joined).groupBy("word").agg(F.sum("times").alias("times")).join(known, F.col("word") == known["meant"], "left").select("word", "times", F.coalesce("n", F.lit(0.0)).alias("own")))
+    own = forms.select("word", "own")
+    only_scanned = forms.where("own = 0 AND times > 0 AND NOT word RLIKE '[0-9]'").select(F.col("word").alias("meant"), (F.col("times") * SCAN_WEIGHT).alias("n"))
+    vocabulary = known.unionByName(only_scanned)
     meant = cut(repair_candidates(own.select(F.col("word").alias("seen"), "own"), vocabulary))
 
     # broken words: of the two forms the one that is known, or is misread from a known one
