@@ -89,14 +89,15 @@ def known_given(token: str) -> str:
         return NICKNAMES[token]
     if token in _GIVEN:
         return token
-    if len(token) >= 5:
-        near = sorted({g for g in _GIVEN if abs(len(g) - len(token)) <= 1 and one_edit(token, g)})
+    if len(token) >= 4:
+        near = sorted({g for g in _GIVEN if abs(len(g) - len(token)) <= 1 and one_edit(token, g) and (len(token) > 4 or g[0] == token[0])})
         if near:
-            return max(near, key=len)
+            best = max(near, key=lambda g: (g[0] == token[0], len(g)))
+            return NICKNAMES.get(best, best)
     if len(token) >= 3:
-        near = sorted({NICKNAMES[n] for n in NICKNAMES if len(n) >= 3 and abs(len(n) - len(token)) <= 1 and one_edit(token, n)})
+        near = sorted({NICKNAMES[n] for n in NICKNAMES if len(n) >= 3 and n[0] == token[0] and abs(len(n) - len(token)) <= 1 and one_edit(token, n)})
         if len(near) == 1:
-            return max(near, key=len)
+            return near[0]
     return ""
 
 
