@@ -33,33 +33,47 @@ def tier_of(sizes: np.ndarray, capacity: int, tiers: int = TIERS) -> np.ndarray:
     return (sizes[:, None] <= edges[None, :]).sum(1)
 
 
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Container number of each item; items are at most ``capacity``.
+class OpenContainers:
+    """Open containers by the room they have left; the smallest sufficient room is found in a bit set over rooms."""
 
-    Items are taken from the largest down. Open containers are kept by room; the smallest sufficient room is found in
-    a bit set over rooms, so an item costs the same however many containers are open.
-    """
-    order = np.argsort(-sizes, kind="stable")
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    rooms = 0  # bit r is set while a container with room r is open
-    out = np.empty(len(sizes), np.int64)
-    used = 0
-    for i, n in zip(order.tolist(), sizes[order].tolist()):
-        fit = rooms >> n
+    def __init__(self, capacity: int):
+        self.capacity, self.used = capacity, 0
+        self.by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.rooms = 0  # bit r is set while a container with room r is open
+
+    def put(self, n: int) -> int:
+        """Container that takes an item of ``n``: the fullest that holds it, else a new one."""
+        fit = self.rooms >> n
         if fit:
             room = n + ((fit & -fit).bit_length() - 1)
-            c = by_room[room].pop()
-            if not by_room[room]:
-                rooms ^= 1 << room
+            c = self.by_room[room].pop()
+            if not self.by_room[room]:
+                self.rooms ^= 1 << room
         else:
-            room, c = capacity, used
-            used += 1
-        out[i] = c
+            room, c = self.capacity, self.used
+            self.used += 1
         left = room - n
         if left:
-            if not by_room[left]:
-                rooms |= 1 << left
-            by_room[left].append(c)
+            if not self.by_room[left]:
+                self.rooms |= 1 << left
+            self.by_room[left].append(c)
+        return c
+
+
+def pack(sizes: np.ndarray, capacity: int, tiers: int = TIERS) -> np.ndarray:
+    """Container number of each item; items are at most ``capacity``.
+
+    Tier by tier from the longest context down, within a tier from the largest item down: a tier first fills the gaps
+    that longer tiers left, and opens containers of its own for the rest. An item costs the same however many
+    containers are open.
+    """
+    tier = tier_of(sizes, capacity, tiers)
+    shelf = OpenContainers(capacity)
+    out = np.empty(len(sizes), np.int64)
+    for t in range(tiers):
+        own = np.flatnonzero(tier == t)
+        own = own[np.argsort(-sizes[own], kind="stable")]
+        out[own] = [shelf.put(n) for n in sizes[own].tolist()]
     return out
 
 
