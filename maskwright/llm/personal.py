@@ -72,10 +72,14 @@ DISCLOSURE = 3.0
 
 
 def _mask(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text with the spans blanked, so later patterns can't reach into them."""
-    for a, b in spans:
-        text = text[:a] + "\x00" * (b - a) + text[b:]
-    return text
+    """The text with the disjoint spans blanked, so later patterns can't reach into them."""
+    if not spans:
+        return text
+    out, at = [], 0
+    for a, b in sorted(spans):
+        out += (text[at:a], "\x00" * (b - a))
+        at = b
+    return "".join(out) + text[at:]
 
 
 def labelled(text: str, at: int) -> bool:
@@ -190,8 +194,15 @@ def name_candidates(text: str) -> list[tuple[int, int, str, str]]:
 
 def counted(text: str, found: list[tuple[int, int, str, str]]) -> list[str]:
     """Terms that stand in a name-like group; what follows "Family, Given" is no name and a lower-case comma may be the sentence's."""
-    commas = [(a, b) for a, b, _, form in found if form == "comma"]
-    return [t for a, b, t, form in found if not (form == "full" and any(x < a < y for x, y in commas)) and not (form == "comma" and not text[a].isupper())]
+    out, comma_end = [], -1
+    for a, b, term, form in found:  # in order of start
+        if form == "comma":
+            comma_end = max(comma_end, b)
+            if text[a].isupper():
+                out.append(term)
+        elif form != "full" or a >= comma_end:
+            out.append(term)
+    return out
 
 
 def disclosure(seen, beside, p_beside: float):
@@ -272,15 +283,35 @@ def personal_values(texts: DataFrame, threshold: float = DISCLOSURE) -> DataFram
     return shapes.unionByName(persons)
 
 
+_WORD_START = re.compile(r"(?<![^\W_])\S")
+
+
+def replaced(text: str, values: list[tuple[str, str]]) -> str:
+    """The text with every whole occurrence of the values ``(kind, value)`` as ``[kind]``, the longest at a place first.
+
+    One pass: at the start of a word the values that begin like it are compared.
+    """
+    begin: dict[str, list[tuple[str, str]]] = {}
+    for kind, value in sorted(values, key=lambda v: -len(v[1])):
+        begin.setdefault(value[:3], []).append((kind, value))
+    out, at = [], 0
+    for m in _WORD_START.finditer(text):
+        i = m.start()
+        if i < at:
+            continue
+        for kind, value in begin.get(text[i : i + 3], ()):
+            end = i + len(value)
+            if text.startswith(value, i) and not (end < len(text) and text[end].isalnum()):
+                out += (text[at:i], f"[{kind}]")
+                at = end
+                break
+    return "".join(out) + text[at:]
+
+
 def _redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = []
-        for text, values in zip(pdf["text"], pdf["found"]):
-            values = list(values) if values is not None else []
-            for v in sorted(values, key=lambda v: -len(v["value"])):
-                text = re.sub(rf"(?<![^\W_]){re.escape(v['value'])}(?![^\W_])", f"[{v['kind']}]", text)
-            out.append(text)
-        yield pd.DataFrame({"src": pdf["src"], "row_id": pdf["row_id"], "values": [0 if v is None else len(v) for v in pdf["found"]], "redacted": out})
+        found = [[(v["kind"], v["value"]) for v in vs] if vs is not None else [] for vs in pdf["found"]]
+        yield pd.DataFrame({"src": pdf["src"], "row_id": pdf["row_id"], "values": [len(v) for v in found], "redacted": [replaced(t, v) for t, v in zip(pdf["text"], found)]})
 
 
 def redacted_texts(texts: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
