@@ -283,39 +283,87 @@ def personal_values(texts: DataFrame, threshold: float = DISCLOSURE) -> DataFram
     return shapes.unionByName(persons)
 
 
-_WORD_START = re.compile(r"(?<![^\W_])\S")
+_WORD_START = re.compile(r"(?<![^\W_])\S|[^\w\s]|_")
 
 
-def replaced(text: str, values: list[tuple[str, str]]) -> str:
-    """The text with every whole occurrence of the values ``(kind, value)`` as ``[kind]``, the longest at a place first.
+#: What the types of detections are called in a placeholder; companies and whole lines have none.
+ENTITY_KINDS = {"PERSON": "PERSON", "ADDRESS": "ADDRESS", "PHONE": "PHONE", "EMAIL": "EMAIL", "SSN": "ID_NUMBER", "ACCOUNT_NUMBER": "ID_NUMBER", "CREDIT_CARD": "ID_NUMBER"}
 
-    One pass: at the start of a word the values that begin like it are compared.
+
+#: Up to so many values are looked up one after the other.
+FEW_VALUES = 16
+
+
+def standing(text: str, value: str) -> list[tuple[int, int, bool]]:
+    """(start, end, whole) of every place of ``value``; ``whole``: not inside a longer word."""
+    out, a = [], text.find(value) if value else -1
+    while a >= 0:
+        b = a + len(value)
+        out.append((a, b, not (value[0].isalnum() and a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum())))
+        a = text.find(value, a + 1)
+    return out
+
+
+def replaced(text: str, values: list[tuple[str, str]], own: tuple[str, str] | None = None) -> str:
+    """The text with every whole occurrence of the values ``(kind, value)`` as ``[kind]``, and ``own`` inside longer words too
+    if it stands nowhere as a whole.
+
+    Many values take one pass: at the start of a word those that begin like it are compared, the longest first. Values that
+    overlap become one placeholder, that of the longest, so no end of any value stays behind.
     """
-    begin: dict[str, list[tuple[str, str]]] = {}
-    for kind, value in sorted(values, key=lambda v: -len(v[1])):
-        begin.setdefault(value[:3], []).append((kind, value))
+    if not values and not own:
+        return text
+    spans: list[tuple[int, int, str]] = []
+    if own:
+        places = standing(text, own[1])
+        whole = [p for p in places if p[2]]
+        spans += [(a, b, own[0]) for a, b, _ in whole or places]
+    if len(values) <= FEW_VALUES:
+        spans += [(a, b, kind) for kind, value in values for a, b, whole in standing(text, value) if whole]
+    else:
+        begin: dict[str, list[tuple[str, str]]] = {}
+        for kind, value in sorted(values, key=lambda v: -len(v[1])):
+            begin.setdefault(value[:3], []).append((kind, value))
+        for m in _WORD_START.finditer(text):
+            i = m.start()
+            for kind, value in begin.get(text[i : i + 3], ()):
+                end = i + len(value)
+                if text.startswith(value, i) and not (end < len(text) and text[end].isalnum()):
+                    spans.append((i, end, kind))
+                    break
+    joined: list[list] = []  # start, end, kind, length of the longest
+    for a, b, kind in sorted(spans, key=lambda v: v[0]):
+        if joined and a < joined[-1][1]:
+            last = joined[-1]
+            last[1] = max(last[1], b)
+            if b - a > last[3]:
+                last[2:] = kind, b - a
+        else:
+            joined.append([a, b, kind, b - a])
     out, at = [], 0
-    for m in _WORD_START.finditer(text):
-        i = m.start()
-        if i < at:
-            continue
-        for kind, value in begin.get(text[i : i + 3], ()):
-            end = i + len(value)
-            if text.startswith(value, i) and not (end < len(text) and text[end].isalnum()):
-                out += (text[at:i], f"[{kind}]")
-                at = end
-                break
+    for a, b, kind, _ in joined:
+        out += (text[at:a], f"[{kind}]")
+        at = b
     return "".join(out) + text[at:]
 
 
 def _redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found = [[(v["kind"], v["value"]) for v in vs] if vs is not None else [] for vs in pdf["found"]]
-        yield pd.DataFrame({"src": pdf["src"], "row_id": pdf["row_id"], "values": [len(v) for v in found], "redacted": [replaced(t, v) for t, v in zip(pdf["text"], found)]})
+        own = [(ENTITY_KINDS[e], i) if i and e in ENTITY_KINDS else None for i, e in zip(pdf["inside"], pdf["etype"])]
+        count = [len({*v, o} if o and o[1] in t else v) for t, v, o in zip(pdf["text"], found, own)]
+        yield pd.DataFrame({"src": pdf["src"], "row_id": pdf["row_id"], "values": count, "redacted": [replaced(t, v, o) for t, v, o in zip(pdf["text"], found, own)]})
 
 
 def redacted_texts(texts: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
-    """(src, row_id, values, redacted): each text with its values replaced by ``[KIND]``; texts without any come out as they are."""
-    found = personal_values(texts, threshold).groupBy("src", "row_id").agg(F.collect_list(F.struct("kind", "value")).alias("found"))
-    held = texts.where("text IS NOT NULL").select("src", F.col("row_id").cast("bigint").alias("row_id"), "text")
+    """(src, row_id, values, redacted): each text with its values replaced by ``[KIND]``; texts without any come out as they are.
+
+    Here ``inside`` isn't left out: the whole text is searched, and ``inside`` itself is replaced by the placeholder of
+    its type in the column ``etype``, if there is such a column and the type is one of ENTITY_KINDS. Only companies are
+    kept out of the search, as "P. M. Corp" is built like a person's name.
+    """
+    if "etype" not in texts.columns:
+        texts = texts.withColumn("etype", F.lit(None).cast("string"))
+    found = personal_values(texts.withColumn("inside", F.when(F.col("etype") == "ORG", F.col("inside"))), threshold).groupBy("src", "row_id").agg(F.collect_list(F.struct("kind", "value")).alias("found"))
+    held = texts.where("text IS NOT NULL").select("src", F.col("row_id").cast("bigint").alias("row_id"), "text", "inside", "etype")
     return held.join(found, ["src", "row_id"], "left").mapInPandas(_redact, "src string, row_id bigint, values int, redacted string")

@@ -40,11 +40,11 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit(None).cast("string").alias("inside")
-    files = table(spark, sf_dir, "scan_results").select(F.lit("text").alias("src"), F.col("scan_id").alias("row_id"), "text", none)
+    none, etype = (F.lit(None).cast("string").alias(c) for c in ("inside", "etype"))
+    files = table(spark, sf_dir, "scan_results").select(F.lit("text").alias("src"), F.col("scan_id").alias("row_id"), "text", none, etype)
     det = table(spark, sf_dir, "detections")
-    around = det.select(F.lit("context").alias("src"), F.col("det_id").alias("row_id"), F.col("context").alias("text"), F.col("matched_text").alias("inside"))
-    lines = det.where("entity_type = 'FREE_TEXT'").select(F.lit("matched").alias("src"), F.col("det_id").alias("row_id"), F.col("matched_text").alias("text"), none)
+    around = det.select(F.lit("context").alias("src"), F.col("det_id").alias("row_id"), F.col("context").alias("text"), F.col("matched_text").alias("inside"), F.col("entity_type").alias("etype"))
+    lines = det.where("entity_type = 'FREE_TEXT'").select(F.lit("matched").alias("src"), F.col("det_id").alias("row_id"), F.col("matched_text").alias("text"), none, etype)
     return spread(files.unionByName(around).unionByName(lines))
 
 

@@ -1,6 +1,6 @@
 import pytest
 
-from maskwright.llm.personal import disclosure, name_candidates, personal_values, redacted_texts, shaped
+from maskwright.llm.personal import disclosure, name_candidates, personal_values, redacted_texts, replaced, shaped
 
 SCHEMA = "src string, row_id bigint, text string, inside string"
 
@@ -80,3 +80,33 @@ def test_redaction_keeps_the_rest(spark):
 
 def test_disclosure_in_bits():
     assert disclosure(8, 0, 0.01) == float("-inf") and disclosure(9, 9, 0.01) > 6 > 0 > disclosure(10_000, 9, 0.01)
+
+
+def test_redaction_covers_the_own_match(spark):
+    """A context comes out without the value its detection is about, and lines caught whole are searched inside."""
+    rows = [
+        ("context", 1, "...beyond the garage Hnrietta Salgurbur, mail c@d.test", "Hnrietta Salgurbur", "PERSON"),
+        ("context", 2, "...near the crew (555) 010-0042 for 555-295-4955, today", "(555) 010-0042", "PHONE"),
+        ("context", 3, "...the intake 900-09-7184 our quarry", "900-09-7184", "SSN"),
+        ("context", 4, "...the guardian On file: SSN 982420614. our custodian", "On file: SSN 982420614.", "FREE_TEXT"),
+        ("context", 5, "...the absence Fongreskex Estate Limited their", "Fongreskex Estate Limited", "ORG"),
+        ("context", 6, "...sent to 17 Elm Street, Larch Falls, KS 76061 today", "Elm Street", "ADDRESS"),
+        ("text", 7, PROSE, None, None),
+    ]
+    got = {r["row_id"]: (r["values"], r["redacted"]) for r in redacted_texts(spark.createDataFrame(rows, SCHEMA + ", etype string")).collect()}
+    assert got == {
+        1: (2, "...beyond the garage [PERSON], mail [EMAIL]"),
+        2: (2, "...near the crew [PHONE] for [PHONE], today"),
+        3: (1, "...the intake [ID_NUMBER] our quarry"),
+        4: (1, "...the guardian On file: SSN [ID_NUMBER]. our custodian"),
+        5: (0, rows[4][2]),
+        6: (2, "...sent to [ADDRESS] today"),
+        7: (0, PROSE),
+    }
+
+
+def test_overlapping_values_leave_no_rest():
+    assert replaced("x Lumbar, Kenneth Minsunher y", [("PERSON", "Lumbar, Kenneth"), ("PERSON", "Kenneth Minsunher")]) == "x [PERSON] y"
+    assert replaced("by R. Hnrietta Salgurbur.", [("PERSON", "R. Hnrietta")], ("PERSON", "Hnrietta Salgurbur")) == "by [PERSON]."
+    assert replaced("Li met Lila, Li", [], ("PERSON", "Li")) == "[PERSON] met Lila, [PERSON]"
+    assert replaced("no.x9001y", [], ("ID_NUMBER", "9001")) == "no.x[ID_NUMBER]y"
