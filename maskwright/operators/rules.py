@@ -127,7 +127,7 @@ def rule_spans(text: Column, rule: Rule, order: int = 0) -> Column:
     """Detections of one rule; the whole match is the span, labels included."""
     spans = match_spans(text, rule.pattern)
     if rule.hint:
-        spans = F.when(text.rlike(rule.hint), spans).when(text.isNotNull(), F.array().cast("array<struct<start:int,end:int,matched_text:string>>"))
+        spans = F.when(text.rlike(unicode_pattern(rule.hint)), spans).when(text.isNotNull(), F.array().cast("array<struct<start:int,end:int,matched_text:string>>"))
     if rule.entity_type == "PHONE":
         spans = F.filter(spans, lambda s: ~is_toll_free(s["matched_text"]))
     elif rule.entity_type == "ADDRESS":

@@ -114,3 +114,13 @@ def test_pattern_that_can_match_nothing(spark):
     line = rules.Rule("line", "LINE", r"(?m)^.*$")
     df = spark.createDataFrame([("ab\n\ncd",), (None,)], "text string").select(rules.rule_spans(F.col("text"), line).alias("d"))
     assert [[(d["start"], d["matched_text"]) for d in r[0] or []] for r in df.collect()] == [[(0, "ab"), (4, "cd")], []]
+
+
+def test_hints_see_the_characters_that_the_patterns_see(spark):
+    """Full-width digits are digits to the pattern; a ZIP after a non-breaking space is found and then filtered as not ASCII."""
+    number = "\uff11\uff12\uff13\uff14\uff15\uff16\uff17\uff18\uff19"
+    zip_rule = next(r for r in rules.BUILT_IN if r.name == "City State Zip")
+    df = spark.createDataFrame([(f"routing {number}", "Salem, OR\u00a097301")], "a string, b string")
+    found = df.select(rules.scan_rules(F.col("a")).alias("a"), rules.scan_rules(F.col("b")).alias("b"), rules.test_pattern(F.col("b"), zip_rule.pattern).alias("raw")).first()
+    assert ("Routing Number", f"routing {number}") in [(d["rule_name"], d["matched_text"]) for d in found["a"]]
+    assert found["b"] == [] and [d["matched_text"] for d in found["raw"]] == ["Salem, OR\u00a097301"]
