@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,15 +29,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Session setting: partitions that ``spread`` deals a scan out to; unset, files are read as they lie.
+INPUT_PARTITIONS = "maskwright.input.partitions"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a folder of our own only where none is set (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``. Only a local master, which has one machine, may do without:
+    it gets a folder of its own. Anywhere else a missing setting is an error.
+
+    What is written below the folder in this session is deleted when the session's JVM ends.
+    """
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "maskwright-checkpoints")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "maskwright-checkpoints")
     sc.setCheckpointDir(folder)
-    return folder
+    own = sc._jsc.sc().getCheckpointDir().get()
+    path = sc._jvm.org.apache.hadoop.fs.Path(own)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return own
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,18 +61,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Inputs up to so many bytes are dealt out to all cores if their files are fewer than the cores.
-SPREAD_BYTES = 256 << 20
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a compressed columnar table: for wide or long intermediate results of which readers take parts."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small scan in at least as many partitions as cores; larger ones are read as their files lie, without a shuffle."""
-    execution = df._jdf.queryExecution()
-    size = int(execution.optimizedPlan().stats().sizeInBytes())
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if size > SPREAD_BYTES or execution.toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    """``df`` dealt out to as many partitions as the session sets in ``maskwright.input.partitions``, else as it lies.
+
+    For sessions whose inputs lie in fewer files than cores, such as the bench. The plan never depends on the size.
+    """
+    parts = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def exploded(df: DataFrame, keep: list[str], array: Column, name: str = "d") -> DataFrame:
