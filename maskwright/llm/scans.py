@@ -2,8 +2,13 @@
 
 Noisy channel: what a word should be is the vocabulary word with the highest product of character confusion
 probabilities and n-gram likelihood, decoded by Viterbi over the candidates of each line. Counts come from the whole
-text of files that weren't scanned (and, weakly, of the scanned ones). Candidates meet their misread forms by an
-equi-join on a key in which confusable characters are the same, so no vocabulary is sent to every task.
+text of files that weren't scanned (and, weakly, of the scanned ones).
+
+The confusion probabilities are fitted to the scans themselves by expectation maximisation over unknown forms and the
+known words that one confused segment explains, whatever its characters; a few usual confusions only give the first
+guess. The pages are taken apart once and kept as one compact row a file. Decisions are made per distinct form, not per
+token: forms meet candidates by an equi-join, and a filter of fixed size then tells a second, cheap pass over the kept
+files which tokens are concerned. Only these, a few in a hundred, are joined with their candidates and decoded.
 """
 
 from __future__ import annotations
@@ -13,17 +18,19 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.llm.blocks import may_hold_one, text_hash, value_filter
 from maskwright.llm.names import lcs_ratio
-from maskwright.runtime import cut
+from maskwright.runtime import cut, written
 
-# Characters as printed and as misread.
+# Characters as printed and as misread, the first guess of the channel.
 CONFUSIONS = [tuple(p.split(":")) for p in "o:0 l:1 i:1 i:l s:5 b:6 b:8 g:9 e:c t:f h:b d:cl cl:d m:rn n:ri w:vv rn:m z:2 a:o u:v".split()]
-#: Folding of confusable characters: single ones into one of their class, then pairs of classes that look like one.
+#: Folding of usual confusions: single characters into one of their class, then pairs of classes that look like one.
 _SINGLE = str.maketrans("015689clbf2v", "oishhgeihtzu")
 _PAIRS = [("ri", "n"), ("rn", "m"), ("ei", "d"), ("uu", "w")]
 
@@ -33,10 +40,18 @@ MARKER = re.compile(r"^\s*-{3} Page Break -{3}\s*$")
 PAGE_NUMBER = re.compile(r"^\W*(?:p(?:age|g)?\b\.?\s*)?(?:\d{1,4}|[ivxlc]{1,7})(?:\s*(?:of|/)\s*\d{1,4})?\W*$", re.IGNORECASE)
 _NUMBER_AT_END = re.compile(r"^\s*\W*\d{1,4}\W*\s{2,}|\s{2,}\W*\d{1,4}\W*\s*$")
 
-#: Probability that a character is misread as one given other; that a scanned word is counted although misread.
-P_CONFUSED, SCAN_WEIGHT = 0.004, 0.01
-#: A vocabulary word must outweigh the form as it stands by this factor.
+#: First guess of the probability that a segment is misread as a given other: usual confusions, and any others.
+P_CONFUSED, P_OTHER = 0.004, 0.0004
+#: Printed segments that the first guess weighs as much as, and rounds of expectation maximisation.
+PRIOR, ROUNDS = 200.0, 2
+#: Confusions that are none of the usual ones count if they are expected so often at least.
+LEAST_EXPECTED = 5.0
+#: Weight of a scanned word, which may itself be misread; of a form that is no known word, as a count.
+SCAN_WEIGHT, UNKNOWN = 0.01, 0.02
+#: A vocabulary word must outweigh a known word that stands there by this factor.
 MARGIN = 2.0
+#: Pages of one file that are taken apart together; the headers of a file with more are looked for in each such part.
+VOLUME = 500
 
 
 def fold(word: str) -> str:
@@ -47,22 +62,62 @@ def fold(word: str) -> str:
     return word
 
 
-def channel(seen: str, meant: str) -> float:
-    """Log probability of reading ``seen`` where ``meant`` is printed; -inf if confusions alone can't explain it."""
+def first_guess() -> dict[tuple[str, str], float]:
+    return {c: P_CONFUSED for c in CONFUSIONS}
+
+
+def difference(seen: str, meant: str) -> tuple[str, str] | None:
+    """(printed, read) where the words differ in one segment of one or two characters, one of them on one side at least."""
+    i, n = 0, min(len(seen), len(meant))
+    while i < n and seen[i] == meant[i]:
+        i += 1
+    j = 0
+    while j < n - i and seen[-1 - j] == meant[-1 - j]:
+        j += 1
+    read, printed = seen[i : len(seen) - j], meant[i : len(meant) - j]
+    if not printed and not read:
+        return None
+    if not printed or not read:  # a letter more or less: together with its neighbour, two are read as one or one as two
+        if i:
+            i -= 1
+        elif j:
+            j -= 1
+        read, printed = seen[i : len(seen) - j], meant[i : len(meant) - j]
+    return (printed, read) if 2 <= len(printed) + len(read) <= 3 and printed and read else None
+
+
+def channel(seen: str, meant: str, table: dict[tuple[str, str], float]) -> float:
+    """Log probability of reading ``seen`` where ``meant`` is printed; -inf if the table's confusions can't explain it."""
+    one = difference(seen, meant)
+    if one is not None:
+        known = table.get(one)
+        if known:
+            return math.log(known)
     best: list[dict[int, float]] = [{} for _ in range(len(meant) + 1)]
     best[0][0] = 0.0
-    same = math.log(1 - 2 * P_CONFUSED)
     for i in range(len(meant) + 1):
         for j, p in best[i].items():
             if i < len(meant) and j < len(seen) and meant[i] == seen[j]:
-                best[i + 1][j + 1] = max(best[i + 1].get(j + 1, -math.inf), p + same)
-            for printed, read in CONFUSIONS:
-                if meant.startswith(printed, i) and seen.startswith(read, j):
-                    a, b = i + len(printed), j + len(read)
-                    best[a][b] = max(best[a].get(b, -math.inf), p + math.log(P_CONFUSED))
+                best[i + 1][j + 1] = max(best[i + 1].get(j + 1, -math.inf), p)
+            for a in (1, 2):
+                for b in (1, 2) if a == 1 else (1,):
+                    if i + a <= len(meant) and j + b <= len(seen):
+                        known = table.get((meant[i : i + a], seen[j : j + b]))
+                        if known:
+                            best[i + a][j + b] = max(best[i + a].get(j + b, -math.inf), p + math.log(known))
     return best[len(meant)].get(len(seen), -math.inf)
 
 
+def form_keys(word: str) -> list[str]:
+    """Keys of which a word and its misread forms share one: the folded word, and the same with any segment left open.
+
+    Any number of usual confusions and one of any other kind keep a key. Words of one or two letters have no open ones.
+    """
+    g = fold(word)
+    n = len(g)
+    return [g, *({g[:i] + "*" + g[i + w :] for w in (1, 2) for i in range(n - w + 1)} if n > 2 else ())]
+
+
 def _header_key(line: str) -> str:
     plain = _NUMBER_AT_END.sub(" ", line)
     return " ".join(fold(w) for w in re.findall(r"[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*", plain))
@@ -137,34 +192,53 @@ def as_cased(seen: str, meant: str, start: bool) -> str:
     return meant
 
 
-# ---- documents as lines -------------------------------------------------------------------------------------------
-
-PAGE_ROWS = "src string, doc_id bigint, row_id bigint, line int, pos int, defect string, seen string, halves string, start boolean, before string, after string"
-
-
-_NAMES = [c.split()[0] for c in PAGE_ROWS.split(", ")]
-_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()]
-
-
-def _collect(columns: list[list], src: str, doc_id: int, lines: list[str], breaks: list[bool], ids: list[list[tuple[str, int]]] | None) -> None:
-    """Appends furniture (its text in ``seen``) and body tokens of one document to the columns of ``PAGE_ROWS``."""
-    kinds = layout(lines, breaks)
-    for i, kind in enumerate(kinds):
-        if kind in ("header", "page_number"):
-            for k, (word, row) in enumerate([(lines[i], doc_id)] if ids is None else ids[i]):
-                for c, v in zip(columns, (src, doc_id, row, i, k, kind, word, "", False, "", "")):
-                    c.append(v)
-    tokens = body_tokens(lines, kinds)
-    n = len(tokens)
-    if not n:
-        return
-    line, pos, word, halves, start = map(list, zip(*tokens))
-    low = [(h or w).lower() for w, h in zip(word, halves)]
-    rows = [doc_id] * n if ids is None else [_word_id(lines[i], ids[i], k) for i, k in zip(line, pos)]
-    before = ["" if fresh else w for fresh, w in zip(start, ["", *low])]
-    after = ["" if fresh else w for fresh, w in zip([*start[1:], True], [*low[1:], ""])]
-    for c, values in zip(columns, ([src] * n, [doc_id] * n, rows, line, pos, ["hyphen" if h else "" for h in halves], word, halves, start, before, after)):
-        c.extend(values)
+# ---- files taken apart ---------------------------------------------------------------------------------------------
+
+#: Rows of three kinds: furniture (a line or a word of one), counts of forms, and the tokens of one file in one row.
+PARTS = "what string, src string, doc_id bigint, row_id bigint, line int, pos int, text string, times bigint, places binary, ids binary, halves string"
+_NAMES = [c.split()[0] for c in PARTS.split(", ")]
+_TYPES = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
+_SEP, _SUB = "\x1f", "\x1e"
+
+#: Distinct forms held by a task before their counts are handed on, and rows of one outgoing batch.
+MAX_FORMS, BATCH_ROWS = 200_000, 20_000
+
+
+class Parts:
+    """Rows of ``PARTS`` of the files of one task; counts of forms are combined before they leave it."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.forms: Counter = Counter()
+
+    def add(self, src: str, doc_id: int, lines: list[str], breaks: list[bool], ids: list[list[tuple[str, int]]] | None) -> None:
+        kinds = layout(lines, breaks)
+        for i, kind in enumerate(kinds):
+            if kind in ("header", "page_number"):
+                for k, (word, row) in enumerate([(lines[i], doc_id)] if ids is None else ids[i]):
+                    self.rows.append((kind, src, doc_id, row, i, k, word, 0, None, None, None))
+        tokens = body_tokens(lines, kinds)
+        if not tokens:
+            return
+        line, pos, word, halves, start = zip(*tokens)
+        low = _SEP.join(word).lower().split(_SEP)
+        broken = [(i, h) for i, h in enumerate(halves) if h]
+        self.forms.update(low)
+        for i, h in broken:  # a first half alone is no form of its own
+            self.forms[low[i]] -= 1
+            for joined in (h.lower(), h.lower().replace("-", "")):
+                self.forms[joined] += 0
+        places = (np.array(line, np.int64) << 32) | (np.array(pos, np.int64) << 1) | np.array(start, np.int64)
+        rows = None if ids is None else np.array([_word_id(lines[i], ids[i], k) for i, k in zip(line, pos)], np.int64).tobytes()
+        self.rows.append(("tokens", src, doc_id, None, None, None, _SEP.join(word), len(word), places.tobytes(), rows, _SEP.join(f"{i}{_SUB}{h}" for i, h in broken)))
+
+    def batches(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        if last or len(self.forms) > MAX_FORMS:
+            self.rows += [("form", None, None, None, None, None, f, n, None, None, None) for f, n in self.forms.items()]
+            self.forms.clear()
+        if self.rows and (last or len(self.rows) >= BATCH_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.rows), _TYPES)], _NAMES)
+            self.rows = []
 
 
 def _word_id(line: str, ids: list[tuple[str, int]], k: int) -> int:
@@ -178,54 +252,75 @@ def _word_id(line: str, ids: list[tuple[str, int]], k: int) -> int:
     return ids[-1][1]
 
 
-def _batch(columns: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
+def split_lines(text: str) -> list[str]:
+    return re.split(r"\r\n|\n|\r|\f", text)
 
 
-#: Tokens of one outgoing batch.
-BATCH_TOKENS = 100_000
-
-
-def _scan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    columns: list[list] = [[] for _ in _NAMES]
+def _scan_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = Parts()
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            lines = re.split(r"\r\n|\n|\r|\f", text)
-            _collect(columns, "scan", doc_id, lines, [False] * len(lines), None)
-            if len(columns[0]) >= BATCH_TOKENS:
-                yield _batch(columns)
-                columns = [[] for _ in _NAMES]
-    yield _batch(columns)
-
-
-def _word_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    lines, breaks, ids = [], [], []
-    for _, page in pdf.groupby("page", sort=True):
-        page = page.sort_values(["y", "x", "word_id"])
-        pitch = max(1.0, 0.6 * float(page["h"].median()))
-        row = (page["y"].diff() > pitch).cumsum().tolist()
-        held: dict[int, list[tuple[int, int, str]]] = {}
-        for r, x, word_id, text in zip(row, page["x"].tolist(), page["word_id"].tolist(), page["text"].tolist()):
-            held.setdefault(r, []).append((x, word_id, text))
-        for k, r in enumerate(sorted(held)):
-            words = sorted(held[r])
-            lines.append(" ".join(w[2] for w in words))
-            breaks.append(k == 0)
-            ids.append([(w[2], int(w[1])) for w in words])
-    columns: list[list] = [[] for _ in _NAMES]
-    _collect(columns, "word", int(pdf["scan_id"].iloc[0]), lines, breaks, ids)
-    return pd.DataFrame(dict(zip(_NAMES, columns)), columns=_NAMES)
-
-
-def page_rows(scans: DataFrame, words: DataFrame) -> DataFrame:
-    """Lines and tokens of ``scans(doc_id, text)`` and of ``words(word_id, scan_id, page, text, y, x, h)``.
-
-    Null and blank texts and words without a scan give no row; words are put in reading order by their boxes, one
-    file's words in one group.
+            lines = split_lines(text)
+            parts.add("scan", doc_id, lines, [False] * len(lines), None)
+        yield from parts.batches()
+    yield from parts.batches(last=True)
+
+
+def page_lines(words: list[tuple[int, int, int, int, str]]) -> list[list[tuple[str, int]]]:
+    """Lines of (text, word_id) of one page's words (y, x, word_id, h, text) in order of y: a step of more than 0.6 of the
+    median height begins a line, within a line the order is that of x."""
+    heights = sorted(w[3] for w in words)
+    middle = len(heights) // 2
+    pitch = max(1.0, 0.6 * (heights[middle] if len(heights) % 2 else (heights[middle - 1] + heights[middle]) / 2))
+    lines: list[list[tuple[int, int, str]]] = []
+    last = None
+    for y, x, word_id, _, text in words:
+        if last is None or y - last > pitch:
+            lines.append([])
+        lines[-1].append((x, word_id, text))
+        last = y
+    return [[(text, word_id) for _, word_id, text in sorted(line)] for line in lines]
+
+
+def _word_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words sorted by file, volume, page, y, x and id: each volume is taken apart when its last word has been read."""
+    parts = Parts()
+    now: tuple | None = None
+    pages: dict[int, list] = {}
+
+    def close() -> None:
+        lines, breaks, ids = [], [], []
+        for page in pages.values():  # in order of page
+            for k, line in enumerate(page_lines(page)):
+                lines.append(" ".join(t for t, _ in line))
+                breaks.append(k == 0)
+                ids.append(line)
+        parts.add("word", now[0], lines, breaks, ids)
+
+    for batch in batches:
+        for scan_id, volume, page, y, x, word_id, h, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if (scan_id, volume) != now:
+                if now is not None:
+                    close()
+                now, pages = (scan_id, volume), {}
+            pages.setdefault(page, []).append((y, x, word_id, h, text))
+        yield from parts.batches()
+    if now is not None:
+        close()
+    yield from parts.batches(last=True)
+
+
+def page_parts(scans: DataFrame, words: DataFrame) -> DataFrame:
+    """``PARTS`` of ``scans(doc_id, text)`` and of ``words(word_id, scan_id, page, text, y, x, h)``.
+
+    Null and blank texts and words without a scan give no row. Words come in reading order by a sort within partitions of
+    whole volumes (``VOLUME`` pages of a file), which are read as a stream, one volume in memory at a time.
     """
-    a = scans.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scan_rows, PAGE_ROWS)
-    held = words.where("trim(text) <> '' AND scan_id IS NOT NULL").select("word_id", "scan_id", F.coalesce("page", F.lit(0)).alias("page"), F.trim("text").alias("text"), "x", "y", "h").fillna(0, ["x", "y", "h"])
-    return a.unionByName(held.groupBy("scan_id").applyInPandas(_word_rows, PAGE_ROWS))
+    a = scans.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scan_parts, PARTS)
+    held = words.where("trim(text) <> '' AND scan_id IS NOT NULL").select(F.col("scan_id").cast("bigint").alias("scan_id"), F.coalesce("page", F.lit(0)).cast("int").alias("page"), "y", "x", F.col("word_id").cast("bigint").alias("word_id"), "h", F.trim("text").alias("text")).fillna(0, ["x", "y", "h"])
+    key = ["scan_id", "volume"]
+    held = held.withColumn("volume", F.floor(F.col("page") / VOLUME).cast("int")).select(*key, "page", *(F.col(c).cast("int").alias(c) for c in ("y", "x")), "word_id", F.col("h").cast("int").alias("h"), "text")
+    return a.unionByName(held.repartition(*key).sortWithinPartitions(*key, "page", "y", "x", "word_id").mapInArrow(_word_parts, PARTS))
 
 
 # ---- counts, candidates, decoding ---------------------------------------------------------------------------------
@@ -236,10 +331,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     two: Counter = Counter()
 
     def full() -> pa.RecordBatch:
-        keys = [(w, "", n) for w, n in one.items()] + [(u, v, n) for (u, v), n in two.items()]
+        words, pairs = list(one), list(two)
+        hashes = [text_hash(f"{u} {v}") for u, v in pairs]
+        columns = [pa.array(words + [None] * len(pairs), pa.string()), pa.array(np.array([0] * len(words) + hashes, np.uint64).view(np.int64)), pa.array([*one.values(), *two.values()], pa.int64())]
         one.clear(), two.clear()
-        a, b, n = zip(*keys) if keys else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], ["u", "v", "n"])
+        return pa.RecordBatch.from_arrays(columns, ["word", "pair", "n"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
@@ -253,40 +349,159 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(u, v, n): counts of words (v = '') and of pairs of neighbours over ``texts(text)``; combined in each task first."""
-    return texts.where("text IS NOT NULL").select("text").mapInArrow(_count, "u string, v string, n bigint").groupBy("u", "v").agg(F.sum("n").alias("n"))
+    """(word, pair, n): counts of words, and of pairs of neighbours by their hash (word null), over ``texts(text)``.
 
+    Combined within each task only; readers add them up.
+    """
+    return texts.where("text IS NOT NULL").select("text").mapInArrow(_count, "word string, pair bigint, n bigint")
 
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _options(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs that one segment explains, with the segment; others with null if usual confusions may explain them."""
+    usual = first_guess()
     for pdf in batches:
-        own = {}
         rows = []
-        for seen, own_n, meant, n in zip(pdf["seen"], pdf["own"], pdf["meant"], pdf["n"]):
-            p = channel(seen, meant)
-            if seen == meant or p == -math.inf:
+        for seen, own, times, meant, n in zip(pdf["seen"], pdf["own"], pdf["times"], pdf["meant"], pdf["n"]):
+            if seen == meant:
+                continue
+            one = difference(seen, meant)
+            if one is None and channel(seen, meant, usual) == -math.inf and fold(seen) == fold(meant):
                 continue
-            if math.log(n) + p > math.log(own_n + 0.02) + (math.log(MARGIN) if own_n else 0):
-                rows.append((seen, meant, math.log(n) + p))
-                own[seen] = math.log(own_n + 0.02)
-        yield pd.DataFrame(rows, columns=["seen", "meant", "score"])
+            if own and one not in usual and fold(seen) != fold(meant):
+                continue
+            rows.append((seen, own, times, meant, n, *(one or (None, None))))
+        yield pd.DataFrame(rows, columns=["seen", "own", "times", "meant", "n", "printed", "read"])
 
 
-def _folded(c: str):
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(fold)
+def _keyed(df: DataFrame, word: str, wide) -> DataFrame:
+    """``df`` once for each key of ``word``; where ``wide`` is false, under the folded word alone."""
 
-    return run(F.col(c))
+    @F.pandas_udf("array<string>")
+    def run(words: pd.Series, all_keys: pd.Series) -> pd.Series:
+        return pd.Series([form_keys(w) if every else [fold(w)] for w, every in zip(words, all_keys)])
 
+    keyed = df.withColumn("keys", run(F.col(word), wide))
+    return keyed.select(*df.columns, F.explode("keys").alias("key"))
 
-def repair_candidates(observed: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(seen, meant, score): vocabulary words that the channel can turn into an observed word and that outweigh it.
 
-    ``observed(seen, own)`` are distinct words with their weight as they stand, ``vocabulary(meant, n)`` weighted words.
+def repair_options(forms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(seen, own, times, meant, n, printed, read): what each form may be misread from.
+
+    ``forms(seen, own, times)``: distinct forms, their count as known words and in the scans; ``vocabulary(meant, n)``.
+    Known words are compared under the folded key alone, unknown ones under all keys.
+    """
+    a = _keyed(forms, "seen", F.col("own") == 0)
+    b = _keyed(vocabulary, "meant", F.lit(True))
+    pairs = a.join(b, "key").select("seen", "own", "times", "meant", "n").distinct()
+    return pairs.mapInPandas(_options, "seen string, own double, times bigint, meant string, n double, printed string, read string")
+
+
+def _expected(table: dict[tuple[str, str], float]):
+    """How often each confusion is expected under the table: each unknown form is shared out over its explanations and
+    the chance that it is a word of its own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[str, str], float] = {}
+        for pdf in batches:
+            for times, options in zip(pdf["times"], pdf["options"]):
+                weights = [o["n"] * table.get((o["printed"], o["read"]), P_OTHER) for o in options]
+                whole = sum(weights) + UNKNOWN
+                for o, w in zip(options, weights):
+                    c = (o["printed"], o["read"])
+                    sums[c] = sums.get(c, 0.0) + times * w / whole
+        yield pd.DataFrame([(*c, e) for c, e in sums.items()], columns=["printed", "read", "expected"])
+
+    return run
+
+
+def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sums: Counter = Counter()
+    for pdf in batches:
+        for word, times in zip(pdf["seen"], pdf["times"]):
+            if times > 0:
+                for w in (1, 2):
+                    for i in range(len(word) - w + 1):
+                        sums[word[i : i + w]] += times
+    yield pd.DataFrame(list(sums.items()), columns=["segment", "n"])
+
+
+def fitted_channel(forms: DataFrame, options: DataFrame, rounds: int = ROUNDS) -> dict[tuple[str, str], float]:
+    """Probability of each confusion (printed, read), by expectation maximisation over the unknown forms of the scans.
+
+    What comes to the driver are sums per segment and per confusion, at most 38 + 38^2 and 38^2 + 2 * 38^3 rows by the
+    size of the alphabet, however long the texts are. Usual confusions keep their first guess as prior; others need
+    ``LEAST_EXPECTED`` expected cases, so that words which happen to look alike teach nothing.
     """
-    a = observed.withColumn("key", _folded("seen"))
-    b = vocabulary.withColumn("key", _folded("meant"))
-    return a.join(b, "key").select("seen", "own", "meant", "n").mapInPandas(_candidates, "seen string, meant string, score double")
+    seen = {r["segment"]: r["n"] for r in forms.mapInPandas(_segments, "segment string, n bigint").groupBy("segment").agg(F.sum("n").alias("n")).collect()}
+    grouped = cut(options.where("own = 0 AND times > 0 AND printed IS NOT NULL").groupBy("seen").agg(F.max("times").alias("times"), F.collect_list(F.struct("printed", "read", "n")).alias("options")))
+    usual = first_guess()
+    table = dict(usual)
+    for _ in range(rounds):
+        sums = grouped.mapInPandas(_expected(table), "printed string, read string, expected double").groupBy("printed", "read").agg(F.sum("expected").alias("expected")).collect()
+        expected = {(r["printed"], r["read"]): r["expected"] for r in sums}
+        table = {c: (expected.get(c, 0.0) + PRIOR * p) / (seen.get(c[0], 0) + PRIOR) for c, p in usual.items()}
+        table |= {c: e / (seen.get(c[0], 0) + PRIOR) for c, e in expected.items() if c not in usual and e >= LEAST_EXPECTED}
+    return table
+
+
+def _candidates(table: dict[tuple[str, str], float]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for seen, own, meant, n in zip(pdf["seen"], pdf["own"], pdf["meant"], pdf["n"]):
+                score = math.log(n) + channel(seen, meant, table)
+                if score > math.log(own + UNKNOWN) + (math.log(MARGIN) if own else 0):
+                    rows.append((seen, meant, score))
+            yield pd.DataFrame(rows, columns=["seen", "meant", "score"])
+
+    return run
+
+
+HITS = "src string, doc_id bigint, row_id bigint, line int, pos int, defect string, seen string, halves string, start boolean, before string, after string"
+
+
+class _Memo(dict):
+    """Whether a form may be among those with candidates; asked once a form."""
+
+    def __init__(self, held: np.ndarray):
+        self.held = held
+
+    def __missing__(self, form: str) -> bool:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[form] = hit = may_hold_one(self.held, text_hash(form))
+        return hit
+
+
+def _hits(held: np.ndarray):
+    """Tokens of kept files whose form may have candidates, and all broken words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Memo(held)
+        for batch in batches:
+            rows = []
+            for src, doc_id, text, places, ids, halves in zip(*(c.to_pylist() for c in batch.columns)):
+                words, low = text.split(_SEP), text.lower().split(_SEP)
+                joined = {int(i): h for i, h in (p.split(_SUB) for p in halves.split(_SEP))} if halves else {}
+                chosen = sorted({i for i, hit in enumerate(map(memo.__getitem__, low)) if hit} | set(joined))
+                if not chosen:
+                    continue
+                at = np.frombuffer(places, np.int64)
+                own = np.frombuffer(ids, np.int64) if ids else None
+                fresh = lambda i: i >= len(words) or bool(at[i] & 1)
+                form = lambda i: joined[i].lower() if i in joined else low[i]
+                for i in chosen:
+                    before = form(i - 1) if i and not fresh(i) else ""
+                    after = "" if fresh(i + 1) else form(i + 1)
+                    rows.append((src, doc_id, doc_id if own is None else int(own[i]), int(at[i] >> 32), int(at[i] & 0xFFFFFFFF) >> 1, "hyphen" if i in joined else "", words[i], joined.get(i, ""), bool(at[i] & 1), before, after))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _HIT_TYPES)], _HIT_NAMES)
+
+    return run
+
+
+_HIT_NAMES = [c.split()[0] for c in HITS.split(", ")]
+_HIT_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()]
 
 
 def _decode(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -331,42 +546,44 @@ REPAIR = "src string, doc_id bigint, row_id bigint, line int, pos int, defect st
 def placed_repairs(scans: DataFrame, words: DataFrame, clean: DataFrame) -> DataFrame:
     """(src, doc_id, row_id, line, pos, defect, repaired): every repair with its place.
 
-    ``scans(doc_id, text)``, ``words`` as for ``page_rows``, ``clean(text)`` texts without noise for the counts. A word
+    ``scans(doc_id, text)``, ``words`` as for ``page_parts``, ``clean(text)`` texts without noise for the counts. A word
     that no vocabulary word explains stays as it is; a broken word that is unknown in both forms is joined without hyphen.
     """
-    rows = cut(page_rows(scans, words))
-    furniture = rows.where("defect IN ('header', 'page_number')").select("src", "doc_id", "row_id", "line", "pos", "defect", F.col("seen").alias("repaired"))
-    body = rows.where("defect IN ('', 'hyphen')")
-
-    counts = cut(word_counts(clean))
-    known = counts.where("v = ''").select(F.col("u").alias("meant"), F.col("n").cast("double").alias("n"))
-    plain = F.lower(F.when(F.col("defect") == "hyphen", F.replace("halves", F.lit("-"), F.lit(""))).otherwise(F.col("seen")))
-    body = body.withColumn("word", plain).where(F.col("word").rlike("[a-z]"))
+    parts = written(page_parts(scans, words))
+    furniture = parts.where("what IN ('header', 'page_number')").select("src", "doc_id", "row_id", "line", "pos", F.col("what").alias("defect"), F.col("text").alias("repaired"))
+
+    counts = written(word_counts(clean))
+    known = counts.where("word IS NOT NULL").groupBy(F.col("word").alias("meant")).agg(F.sum("n").cast("double").alias("n"))
     # every form that stands in the text, counted once: whole words, joined halves with and without their hyphen
-    whole = body.where("defect = ''").groupBy("word").agg(F.count("*").alias("times"))
-    joined = body.where("defect = 'hyphen'").select(F.explode(F.array("word", F.lower("halves"))).alias("word")).groupBy("word").agg(F.lit(0).cast("bigint").alias("times"))
-    forms = cut(whole.unionByName(joined).groupBy("word").agg(F.sum("times").alias("times")).join(known, F.col("word") == known["meant"], "left").select("word", "times", F.coalesce("n", F.lit(0.0)).alias("own")))
-    own = forms.select("word", "own")
-    only_scanned = forms.where("own = 0 AND times > 0 AND NOT word RLIKE '[0-9]'").select(F.col("word").alias("meant"), (F.col("times") * SCAN_WEIGHT).alias("n"))
-    vocabulary = known.unionByName(only_scanned)
-    meant = cut(repair_candidates(own.select(F.col("word").alias("seen"), "own"), vocabulary))
+    counted = parts.where("what = 'form'").groupBy("text").agg(F.sum("times").alias("times")).where("text RLIKE '[a-z]'")
+    forms = cut(counted.join(known, F.col("text") == known["meant"], "left").select(F.col("text").alias("seen"), "times", F.coalesce("n", F.lit(0.0)).alias("own")))
+    only_scanned = forms.where("own = 0 AND times > 0 AND NOT seen RLIKE '[0-9]'").select(F.col("seen").alias("meant"), (F.col("times") * SCAN_WEIGHT).alias("n"))
+    options = cut(repair_options(forms, known.unionByName(only_scanned)))
+    table = fitted_channel(forms, options)
+    meant = cut(options.select("seen", "own", "meant", "n").mapInPandas(_candidates(table), "seen string, meant string, score double"))
+
+    held = value_filter(meant.select(F.xxhash64("seen").alias("h")), "h")
+    kept = parts.where("what = 'tokens'").select("src", "doc_id", "text", "places", "ids", "halves")
+    body = cut(kept.mapInArrow(_hits(held), HITS))
 
     # broken words: of the two forms the one that is known, or is misread from a known one
     best = meant.groupBy("seen").agg(F.max(F.struct("score", "meant")).alias("top")).select("seen", "top.score", "top.meant")
-    rated = own.join(best, own["word"] == best["seen"], "left").select("word", F.when(F.col("own") > 0, F.log("own")).otherwise(F.col("score")).alias("rate"), F.when(F.col("own") > 0, F.col("word")).otherwise(F.coalesce("meant", "word")).alias("right"))
-    broken = body.where("defect = 'hyphen'").select("src", "doc_id", "row_id", "line", "pos", "seen", "halves", "start", "word", F.lower("halves").alias("kept"))
+    rated = forms.join(best, "seen", "left").select("seen", F.when(F.col("own") > 0, F.log("own")).otherwise(F.col("score")).alias("rate"), F.when(F.col("own") > 0, F.col("seen")).otherwise(F.coalesce("meant", "seen")).alias("right"))
+    broken = body.where("defect = 'hyphen'").select("src", "doc_id", "row_id", "line", "pos", "seen", "start", F.lower("halves").alias("kept")).withColumn("word", F.replace("kept", F.lit("-"), F.lit(""))).where("word RLIKE '[a-z]'")
     pick = broken.join(rated.toDF("word", "rate", "right"), "word", "left").join(rated.toDF("kept", "kept_rate", "kept_right"), "kept", "left")
-    chosen = F.when(F.coalesce("kept_rate", F.lit(-99.0)) > F.coalesce("rate", F.lit(-99.0)), F.col("kept_right")).otherwise(F.col("right"))
+    chosen = F.when(F.coalesce("kept_rate", F.lit(-99.0)) > F.coalesce("rate", F.lit(-99.0)), F.col("kept_right")).otherwise(F.coalesce("right", "word"))
     hyphens = pick.select("src", "doc_id", "row_id", "line", "pos", F.lit("hyphen").alias("defect"), _cased("seen", chosen, "start").alias("repaired"))
 
     # misread words: Viterbi over the candidates of each line
     cands = meant.groupBy("seen").agg(F.collect_list(F.struct("meant", "score")).alias("cands"))
-    hits = body.where("defect = ''").join(cands.withColumnRenamed("seen", "word"), "word")
+    hits = body.where("defect = ''").withColumn("word", F.lower("seen")).join(cands.withColumnRenamed("seen", "word"), "word")
     lines = cut(hits.groupBy("src", "doc_id", "line").agg(F.collect_list(F.struct("pos", "row_id", F.lit("misread").alias("defect"), "seen", "start", "before", "after", "cands")).alias("hits")))
     around = lambda h: F.flatten(F.transform(h.cands, lambda c: F.array(F.struct(h.before.alias("u"), c.meant.alias("v")), F.struct(c.meant.alias("u"), h.after.alias("v")))))
     between = F.flatten(F.transform("hits", lambda h: F.flatten(F.transform(F.filter("hits", lambda g: g.pos == h.pos + 1), lambda g: F.flatten(F.transform(h.cands, lambda c: F.transform(g.cands, lambda d: F.struct(c.meant.alias("u"), d.meant.alias("v")))))))))
-    edges = lines.select("src", "doc_id", "line", F.explode(F.array_distinct(F.concat(F.flatten(F.transform("hits", around)), between))).alias("e")).where("e.u <> '' AND e.v <> ''")
-    weighed = edges.select("src", "doc_id", "line", "e.u", "e.v").join(counts.where("v <> ''"), ["u", "v"]).groupBy("src", "doc_id", "line").agg(F.collect_list(F.struct("u", "v", "n")).alias("pairs"))
+    edges = lines.select("src", "doc_id", "line", F.explode(F.array_distinct(F.concat(F.flatten(F.transform("hits", around)), between))).alias("e")).where("e.u <> '' AND e.v <> ''").select("src", "doc_id", "line", "e.u", "e.v", F.xxhash64(F.concat_ws(" ", "e.u", "e.v")).alias("pair"))
+    # of the counted pairs only those that are asked for are added up
+    asked = counts.where("word IS NULL").select("pair", "n").join(edges.select("pair").distinct(), "pair", "left_semi").groupBy("pair").agg(F.sum("n").alias("n"))
+    weighed = edges.join(asked, "pair").groupBy("src", "doc_id", "line").agg(F.collect_list(F.struct("u", "v", "n")).alias("pairs"))
     decoded = lines.join(weighed, ["src", "doc_id", "line"], "left").select("src", "doc_id", "line", "hits", "pairs").mapInPandas(_viterbi, REPAIR)
     return furniture.unionByName(hyphens).unionByName(decoded)
 
@@ -378,7 +595,7 @@ def scan_repairs(scans: DataFrame, words: DataFrame, clean: DataFrame) -> DataFr
 
 def rebuilt(text: str, repairs: dict[tuple[int, int], str]) -> str:
     """Paragraphs of a scanned text: furniture gone, lines run on, words as repaired. A page break ends no paragraph."""
-    lines = re.split(r"\r\n|\n|\r|\f", text)
+    lines = split_lines(text)
     kinds = layout(lines, [False] * len(lines))
     tokens = {(i, k): halves for i, k, _, halves, _ in body_tokens(lines, kinds)}
     paragraphs: list[str] = []

@@ -2,7 +2,8 @@ import math
 
 import pytest
 
-from maskwright.llm.scans import as_cased, body_tokens, channel, fold, layout, rebuilt, repaired_texts, scan_repairs
+from maskwright.llm.blocks import may_hold, may_hold_one, text_hash, value_filter
+from maskwright.llm.scans import as_cased, body_tokens, channel, difference, first_guess, fold, form_keys, layout, page_lines, rebuilt, repaired_texts, scan_repairs
 
 CLEAN = "Their western clerk declined the final invoice because another full-time tariff was accepted during the evening. " * 30
 PAGES = "\n".join(
@@ -16,11 +17,19 @@ WORDS = "word_id bigint, scan_id bigint, page int, text string, x int, y int, w
 
 @pytest.mark.parametrize("seen, meant", [("tbeir", "their"), ("durlng", "during"), ("westerri", "western"), ("dedined", "declined"), ("becau5e", "because"), ("tvvofold", "twofold"), ("la6oratory", "laboratory"), ("eastem", "eastern"), ("outsicle", "outside"), ("afternoori", "afternoon")])
 def test_confusions_share_a_key(seen, meant):
-    assert fold(seen) == fold(meant) and channel(seen, meant) > -math.inf
+    assert fold(seen) == fold(meant) and channel(seen, meant, first_guess()) > -math.inf
 
 
 def test_channel():
-    assert channel("cat", "dog") == -math.inf and channel("the", "the") > channel("tbe", "the")
+    table = first_guess()
+    assert channel("cat", "dog", table) == -math.inf and channel("the", "the", table) > channel("tbe", "the", table)
+    assert channel("tne", "the", table) == -math.inf < channel("tne", "the", table | {("h", "n"): 0.01})
+
+
+@pytest.mark.parametrize("seen, meant, segment", [("tne", "the", ("h", "n")), ("tlie", "the", ("h", "li")), ("vear", "year", ("y", "v")), ("moming", "morning", ("rn", "m")), ("the", "the", None), ("cat", "dog", None)])
+def test_one_segment(seen, meant, segment):
+    assert difference(seen, meant) == segment
+    assert segment is None or set(form_keys(seen)) & set(form_keys(meant))
 
 
 def test_layout():
@@ -64,3 +73,43 @@ def test_paragraphs(spark):
 
 def test_empty(spark):
     assert scan_repairs(*frames(spark, [])).count() == 0
+
+
+def test_confusions_that_are_on_no_list_are_fitted(spark):
+    """Held-out confusions of the channel: each is seen in a few words and must then be undone in all of them."""
+    meant = "the year house first other theory yellow yesterday horse thirst burst north".split()
+    clean = spark.createDataFrame([(" ".join(meant) + ".",)] * 400, "text string")
+    misread = {"h": "n", "y": "v", "r": "i"}
+    lines, want = [], set()
+    for k in range(240):
+        word = meant[k % len(meant)]
+        at = next(i for i, c in enumerate(word) if c in misread)
+        lines.append("the year house first " + word[:at] + misread[word[at]] + word[at + 1 :] + " north other burst.")
+        want.add(word)
+    scan = spark.createDataFrame([(1, "\n\n".join(lines))], "doc_id bigint, text string")
+    got = {r["repaired"] for r in scan_repairs(scan, spark.createDataFrame([], WORDS), clean).where("defect = 'misread'").collect()}
+    assert got == want
+    fine = spark.createDataFrame([(1, "The yean house. The northy burst.")], "doc_id bigint, text string")
+    assert scan_repairs(fine, spark.createDataFrame([], WORDS), clean).count() == 0  # no evidence, no confusion
+
+
+def test_lines_of_a_page():
+    assert page_lines([(10, 50, 2, 8, "b"), (12, 10, 1, 8, "a"), (30, 5, 3, 8, "c")]) == [[("a", 1), ("b", 2)], [("c", 3)]]
+
+
+def test_files_of_many_pages_are_read_in_volumes(spark):
+    words = [(p * 10 + k, 5, p, t, 10 + 60 * k, 10 + 40 * (p % 2), 40, 20) for p in range(0, 1203, 1) for k, t in enumerate(["durlng", "tbe"])]
+    got = scan_repairs(*frames(spark, [], words)).where("defect = 'misread'").collect()
+    assert len(got) == 2 * 1203
+
+
+def test_filter_loses_nothing(spark):
+    values = [f"w{i}é" for i in range(3000)]
+    frame = spark.createDataFrame([(v,) for v in values], "v string").selectExpr("v", "xxhash64(v) AS h")
+    assert {r["v"]: r["h"] & (2**64 - 1) for r in frame.collect()} == {v: text_hash(v) for v in values}
+    held = value_filter(frame, "h", 16)
+    import numpy as np
+
+    inside, outside = np.array([text_hash(v) for v in values], np.uint64), np.array([text_hash(f"x{i}") for i in range(3000)], np.uint64)
+    assert may_hold(held, inside).all() and may_hold(held, outside).mean() < 0.2
+    assert [may_hold_one(held, int(h)) for h in outside[:100]] == may_hold(held, outside[:100]).tolist()
