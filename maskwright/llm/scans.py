@@ -229,7 +229,10 @@ class Parts:
             for joined in (h.lower(), h.lower().replace("-", "")):
                 self.forms[joined] += 0
         places = (np.array(line, np.int64) << 32) | (np.array(pos, np.int64) << 1) | np.array(start, np.int64)
-        rows = None if ids is None else np.array([_word_id(lines[i], ids[i], k) for i, k in zip(line, pos)], np.int64).tobytes()
+        rows = None
+        if ids is not None:
+            boxes = {i: token_ids(lines[i], ids[i]) for i in set(line)}
+            rows = np.array([boxes[i][k] for i, k in zip(line, pos)], np.int64).tobytes()
         self.rows.append(("tokens", src, doc_id, None, None, None, _SEP.join(word), len(word), places.tobytes(), rows, _SEP.join(f"{i}{_SUB}{h}" for i, h in broken)))
 
     def batches(self, last: bool = False) -> Iterator[pa.RecordBatch]:
@@ -241,15 +244,15 @@ class Parts:
             self.rows = []
 
 
-def _word_id(line: str, ids: list[tuple[str, int]], k: int) -> int:
-    """The box in which the k-th token of a line begins."""
-    begin = list(TOKEN.finditer(line))[k].start()
-    end = -1
-    for word, word_id in ids:
-        end += len(word) + 1
-        if begin < end:
-            return word_id
-    return ids[-1][1]
+def token_ids(line: str, ids: list[tuple[str, int]]) -> list[int]:
+    """The box in which each token of a line begins."""
+    out, i, end = [], 0, len(ids[0][0])
+    for m in TOKEN.finditer(line):
+        while m.start() > end and i + 1 < len(ids):
+            i += 1
+            end += len(ids[i][0]) + 1
+        out.append(ids[i][1])
+    return out
 
 
 def split_lines(text: str) -> list[str]:

@@ -98,7 +98,7 @@ def test_lines_of_a_page():
 
 
 def test_files_of_many_pages_are_read_in_volumes(spark):
-    words = [(p * 10 + k, 5, p, t, 10 + 60 * k, 10 + 40 * (p % 2), 40, 20) for p in range(0, 1203, 1) for k, t in enumerate(["durlng", "tbe"])]
+    words = [(p * 10 + k, 5, p, t, 10 + 60 * k, 10 + 40 * (p % 2), 40, 20) for p in range(0, 1203, 1) for k, t in enumerate(["durlng", "tbe."])]
     got = scan_repairs(*frames(spark, [], words)).where("defect = 'misread'").collect()
     assert len(got) == 2 * 1203
 
