@@ -109,20 +109,25 @@ def p7_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.unused_room(p7_containers(spark, sf_dir), table(spark, sf_dir, "pack_limits"))
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaked_passages(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items"))
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+    return leakage.leaked_passages(_corpus(spark, sf_dir), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("longest_words"))
+    leaks = leakage.leaked_passages(_corpus(spark, sf_dir), table(spark, sf_dir, "eval_items"))
+    return leaks.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("longest_words"))
+
+
+def p8_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.refilled_templates(_corpus(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
 def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition_share(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return repetition.repetition_share(_corpus(spark, sf_dir))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +139,7 @@ def p9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_records, p3_found, p3_redacted, p4_found, p4_texts, p5_found, p5_links, p6_found, p6_lookup, p7_found, p7_containers, p7_unused, p8_found, p8_items, p9_found, p9_share, p9_lines)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_records, p3_found, p3_redacted, p4_found, p4_texts, p5_found, p5_links, p6_found, p6_lookup, p7_found, p7_containers, p7_unused, p8_found, p8_items, p8_templates, p9_found, p9_share, p9_lines)}
 
 
 _UNITS = copies.UNIT_WORDS
