@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ LEAST_PLAIN = 3
 MIN_WORDS, PER_ALTERED = 20, 8
 #: The windows of the items are dealt out to so many copies each, so a window or item met by a third of all documents
 #: is joined in as many tasks.
-SALTS = 8
+SALTS = 4
 
 _TOKEN = re.compile(r"[^\W_]+|[.?!:;](?=\s)")
 #: Words of measure.
@@ -55,26 +54,27 @@ def kind_of(word: str) -> int:
     return NAME if len(word) > 1 and word[0].isupper() and word[1:].islower() else PLAIN
 
 
-class Lexicon:
-    """Hash and type of each word met by a task, looked up once; forgotten when there are too many."""
+class Lexicon(dict):
+    """Place, hash and type of each word met by a task, worked out once; forgotten when there are too many."""
 
     LIMIT = 300_000
 
     def __init__(self) -> None:
-        self.at: dict[str, int] = {}
+        super().__init__()
         self.raw, self.kind = np.empty(1024, np.uint64), np.empty(1024, np.int8)
 
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        if at == len(self.raw):
+            self.raw, self.kind = np.concatenate([self.raw, self.raw]), np.concatenate([self.kind, self.kind])
+        self.raw[at], self.kind[at] = text_hash(word.lower()), kind_of(word)
+        self[word] = at
+        return at
+
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        at = self.at
-        if len(at) > self.LIMIT:
-            at.clear()
-        known = len(at)
-        index = np.fromiter((at.setdefault(w, len(at)) for w in words), np.int64, len(words))
-        if len(at) > known:
-            while len(at) > len(self.raw):
-                self.raw, self.kind = np.concatenate([self.raw, self.raw]), np.concatenate([self.kind, self.kind])
-            for w in islice(reversed(at), len(at) - known):
-                self.raw[at[w]], self.kind[at[w]] = text_hash(w.lower()), kind_of(w)
+        if len(self) > self.LIMIT:
+            self.clear()
+        index = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         return self.raw[index], self.kind[index]
 
 
@@ -126,6 +126,11 @@ def longest_stretch(words: np.ndarray, passage: np.ndarray, offset: int) -> int:
     if b - a < MIN_WORDS:
         return 0
     same = words[a + offset : b + offset] == passage[a:b]
+    # MIN_WORDS words in a row of any stretch have at most four altered: with n words and n // 8 altered, below 40 words
+    # there are four at most, from 40 on the stretch falls into rows of MIN_WORDS of which one has no more than the mean
+    equal = np.cumsum(same)
+    if equal[-1] < MIN_WORDS - 4 or (equal[MIN_WORDS - 1 :] - np.concatenate([[0], equal[:-MIN_WORDS]])).max() < MIN_WORDS - 4:
+        return 0
     # position k has height PER_ALTERED * (altered before k) - k; a stretch i..j is allowed if height[j] <= height[i]
     height = np.concatenate([[0], np.cumsum(np.where(same, -1, PER_ALTERED - 1))])
     best_before = np.maximum.accumulate(height)
@@ -148,25 +153,31 @@ def longest_template(doc: np.ndarray, doc_types: np.ndarray, item: np.ndarray, i
         return 0, 0
     x, tx, y, ty = doc[a + offset : b + offset], doc_types[a + offset : b + offset], item[a:b], item_types[a:b]
     fits = (tx == ty) & ((tx != PLAIN) | (x == y))
+    edges = np.flatnonzero(np.concatenate([[True], ~fits, [True]]))
+    best = (0, 0)
+    for k in np.flatnonzero(np.diff(edges) > MIN_WORDS).tolist():
+        run = slice(int(edges[k]), int(edges[k + 1]) - 1)
+        best = max(best, _consistent(x[run], y[run], np.flatnonzero(tx[run] != PLAIN)))
+    return best
+
+
+def _consistent(x: np.ndarray, y: np.ndarray, slots: np.ndarray) -> tuple[int, int]:
+    """``longest_template`` within a run that fits in its types and plain words."""
     best, start = (0, 0), 0
     there: dict[int, tuple[int, int]] = {}
     back: dict[int, tuple[int, int]] = {}
 
     def closed(end: int) -> tuple[int, int]:
-        slots = tx[start:end] != PLAIN
-        n = end - start
-        return (n, int((x[start:end][slots] != y[start:end][slots]).sum())) if n >= MIN_WORDS and 2 * int(slots.sum()) <= n else (0, 0)
-
-    for k in range(len(fits)):
-        if not fits[k]:
-            best, start = max(best, closed(k)), k + 1
-        elif tx[k] != PLAIN:
-            u, v = int(y[k]), int(x[k])
-            clash = max((at for held, key, value in ((there, u, v), (back, v, u)) if key in held for other, at in [held[key]] if other != value), default=-1)
-            if clash >= start:
-                best, start = max(best, closed(k)), clash + 1
-            there[u], back[v] = (v, k), (u, k)
-    return max(best, closed(len(fits)))
+        own, n = slots[(slots >= start) & (slots < end)], end - start
+        return (n, int((x[own] != y[own]).sum())) if n >= MIN_WORDS and 2 * len(own) <= n else (0, 0)
+
+    for k in slots.tolist():
+        u, v = int(y[k]), int(x[k])
+        clash = max((at for held, key, value in ((there, u, v), (back, v, u)) if key in held for other, at in [held[key]] if other != value), default=-1)
+        if clash >= start:
+            best, start = max(best, closed(k)), clash + 1
+        there[u], back[v] = (v, k), (u, k)
+    return max(best, closed(len(x)))
 
 
 _HELD = "id bigint, key bigint, words binary, parts binary, types binary, hashes array<bigint>, places array<int>"
@@ -237,8 +248,8 @@ def passage_matches(documents: DataFrame, items: DataFrame, filter_bits: int = F
     diagonal = (F.shiftright("i", 1) - F.shiftright("j", 1)) * 2 + F.col("i").bitwiseAND(1)
     met = theirs.join(ours.select("*", copies), ["h", "salt"]).select("doc_id", "doc_key", "item_id", "item_key", "salt", diagonal.alias("d"))
     pairs = met.groupBy("doc_id", "doc_key", "item_id", "item_key", "salt").agg(F.collect_set("d").alias("diagonals"))
-    passages = held.select("item_id", "item_key", F.col("words").alias("i_words"), F.col("parts").alias("i_parts"), F.col("types").alias("i_types"), copies).dropDuplicates(["item_id", "item_key", "salt"])
-    bodies = docs.select("doc_id", "doc_key", "words", "parts", "types").dropDuplicates(["doc_id", "doc_key"])
+    passages = held.select("item_id", "item_key", F.col("words").alias("i_words"), F.col("parts").alias("i_parts"), F.col("types").alias("i_types"), copies)
+    bodies = docs.select("doc_id", "doc_key", "words", "parts", "types")
     full = pairs.join(passages, ["item_id", "item_key", "salt"]).join(bodies, ["doc_id", "doc_key"])
     checked = full.select("doc_id", "item_id", "words", "parts", "types", "i_words", "i_parts", "i_types", "diagonals").mapInArrow(_verify, "doc_id bigint, item_id bigint, words int, template_words int, changed_slots int")
     best = F.max(F.struct("template_words", "changed_slots"))
