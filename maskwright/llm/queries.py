@@ -105,6 +105,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_containers(spark, sf_dir).where("pieces > 1 AND piece = 0").select("limit_id", "doc_id")
 
 
+def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_totals(p7_containers(spark, sf_dir), table(spark, sf_dir, "pack_limits"))
+
+
 def p7_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.unused_room(p7_containers(spark, sf_dir), table(spark, sf_dir, "pack_limits"))
 
@@ -139,7 +143,7 @@ def p9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_records, p3_found, p3_redacted, p4_found, p4_texts, p5_found, p5_links, p6_found, p6_lookup, p7_found, p7_containers, p7_unused, p8_found, p8_items, p8_templates, p9_found, p9_share, p9_lines)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_records, p3_found, p3_redacted, p4_found, p4_texts, p5_found, p5_links, p6_found, p6_lookup, p7_found, p7_containers, p7_totals, p7_unused, p8_found, p8_items, p8_templates, p9_found, p9_share, p9_lines)}
 
 
 _UNITS = copies.UNIT_WORDS
@@ -181,6 +185,7 @@ SELECT doc_id, kept_chars, all_chars, CASE WHEN all_chars > 0 THEN kept_chars /
         "p2_records": _KEYED + "SELECT src, etype, min(row_id) AS first_id, count(*) AS copies FROM keyed GROUP BY src, etype, k",
         "p6_found": f"SELECT src, row_id, plain FROM (SELECT src, row_id, value, {lookalikes.plain_sql('value')} AS plain FROM ({values}) AS v) WHERE plain <> value",
         "p7_found": "SELECT limit_id, doc_id FROM documents, pack_limits WHERE strlen(text) + 1 > capacity",
+        "p7_totals": "SELECT limit_id, count(*) AS documents, sum(ceil((strlen(text) + 1) / capacity))::BIGINT AS pieces, sum(strlen(text) + 1)::BIGINT AS tokens, 0::BIGINT AS overfull FROM documents, pack_limits WHERE text IS NOT NULL GROUP BY limit_id",
         "p9_found": words + f"SELECT doc_id FROM t WHERE repeated_words >= {share} * words",
         "p9_share": words + "SELECT d.doc_id, coalesce(t.repeated_words, 0) AS repeated_words, coalesce(t.words, 0) AS words, coalesce(t.repeated_words / t.words, 0.0) AS share FROM d LEFT JOIN t ON d.doc_id = t.doc_id",
         "p9_lines": lines,

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.runtime import written
+
 RUN = 8
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -64,25 +66,30 @@ def repetition_share(documents: DataFrame) -> DataFrame:
     return measured.withColumn("share", F.col("repeated_words") / F.greatest(F.col("words"), F.lit(1)))
 
 
-def line_frequency(documents: DataFrame, host: str = "source", max_documents: int = 3, min_kept: float = 0.5, salts: int = 32) -> DataFrame:
+def line_frequency(documents: DataFrame, host: str = "source", max_documents: int = 3, min_kept: float = 0.5, salts: int = 8) -> DataFrame:
     """(doc_id, kept_chars, all_chars, kept_share, rejected): documents after lines common on their host are removed.
 
     A line is common if more than ``max_documents`` different texts of its host have it; letter case, digits and white
     space don't count. A document is rejected if less than ``min_kept`` of its characters are left. A null host is a
     host of its own; documents without text or with blank lines only are kept. Whole copies of a text count once.
-    Counting is by 64-bit hashes with map-side combination, and spread over salts where one host or line is hot.
+    Counting is by 64-bit hashes with map-side combination; counts and the join with the common lines are spread over
+    salts, so a line that a third of all documents have is no task of its own. Blank lines take part in neither.
     """
     texts = documents.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("host"), "text")
     lines = texts.select("doc_id", "host", F.xxhash64("text").alias("text_key"), F.explode(F.split("text", r"\r\n|\n|\r")).alias("line"))
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower("line"), r"[0-9]+", "0"), r"(?U)\s+", " "))
-    keyed = lines.select("doc_id", "text_key", F.length("line").alias("chars"), F.when(plain != "", F.xxhash64("host", plain)).alias("line_key"))
-    seen = keyed.where("line_key IS NOT NULL").select("line_key", "text_key").distinct()
-    part = seen.groupBy("line_key", F.pmod("text_key", F.lit(salts)).alias("salt")).agg(F.count("*").alias("n"))
-    common = part.groupBy("line_key").agg(F.sum("n").alias("n")).where(F.col("n") > max_documents).select("line_key", F.lit(True).alias("common"))
-    marked = keyed.join(common, "line_key", "left")
+    # read and normalised once; what is kept are three numbers a line
+    keyed = written(lines.select("doc_id", "text_key", F.length("line").alias("chars"), F.when(plain != "", F.xxhash64("host", plain)).alias("line_key")))
+    salt = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(salts)).cast("int").alias("salt")
+    held = keyed.where("line_key IS NOT NULL").groupBy("doc_id", "text_key", "line_key").agg(F.sum("chars").alias("chars"))
+    part = held.select("line_key", "text_key").distinct().groupBy("line_key", F.pmod("text_key", F.lit(salts)).alias("salt")).agg(F.count("*").alias("n"))
+    common = part.groupBy("line_key").agg(F.sum("n").alias("n")).where(F.col("n") > max_documents).select("line_key")
+    # every copy of a common line is one key: the few common lines go once to each salt
+    removed = held.select("doc_id", "line_key", "chars", salt).join(common.select("line_key", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")), ["line_key", "salt"], "left_semi")
+    every = keyed.select("doc_id", "chars", F.lit(0).cast("bigint").alias("gone")).unionByName(removed.select("doc_id", F.lit(0).alias("chars"), F.col("chars").alias("gone")))
     return (
-        marked.groupBy("doc_id")
-        .agg(F.sum(F.when(F.col("common"), 0).otherwise(F.col("chars"))).cast("bigint").alias("kept_chars"), F.sum("chars").cast("bigint").alias("all_chars"))
+        every.groupBy("doc_id")
+        .agg((F.sum("chars") - F.sum("gone")).cast("bigint").alias("kept_chars"), F.sum("chars").cast("bigint").alias("all_chars"))
         .withColumn("kept_share", F.when(F.col("all_chars") > 0, F.col("kept_chars") / F.col("all_chars")).otherwise(F.lit(1.0)))
         .withColumn("rejected", F.col("kept_share") < min_kept)
     )

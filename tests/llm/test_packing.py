@@ -10,10 +10,13 @@ from maskwright.llm.packing import pack, pack_documents, step_groups, tier_of, u
 @given(st.lists(st.integers(1, 64), max_size=200))
 def test_containers_hold_what_they_get(sizes):
     sizes = np.array(sizes, np.int64)
-    used = pack(sizes, 64)
+    used, window = pack(sizes, 64)
     loads = np.bincount(used, weights=sizes) if len(sizes) else np.array([])
     assert (loads <= 64).all() and (loads > 0).all()
     assert len(loads) <= 1.3 * -(-sizes.sum() // 64) + 1  # best fit from the largest down
+    for w in set(window.tolist()):  # a window lies in one container and is no longer than its tier's
+        own = np.flatnonzero(window == w)
+        assert len(set(used[own])) == 1 and sizes[own].sum() <= max(64 >> t for t in tier_of(sizes[own], 64))
 
 
 def test_groups_are_balanced():
@@ -23,7 +26,18 @@ def test_groups_are_balanced():
 
 
 def test_tiers():
-    assert tier_of(np.array([100, 51, 50, 26, 25, 13, 12, 1]), 100).tolist() == [0, 0, 1, 1, 2, 2, 3, 3]
+    assert tier_of(np.array([100, 51, 50, 26, 25, 13, 12, 1]), 100, 4).tolist() == [0, 0, 1, 1, 2, 2, 3, 3]
+
+
+def test_tiers_matter():
+    rng = np.random.default_rng(3)
+    differ = 0
+    for _ in range(50):
+        sizes = rng.integers(1, 60, 80)
+        (one, _), (four, windows) = pack(sizes, 64, 1), pack(sizes, 64, 4)
+        differ += one.tolist() != four.tolist()
+        assert np.bincount(windows, weights=sizes).max() <= 64 and four.max() <= one.max() + 4
+    assert differ > 40
 
 
 def frames(spark, texts, limits=((1, 10), (2, 25))):
