@@ -11,17 +11,22 @@ from pyspark.sql import functions as F
 PORTION = 256
 
 
-def block_pairs(keyed: DataFrame, member: str, a: str, b: str, portion: int = PORTION) -> DataFrame:
+def block_pairs(keyed: DataFrame, member: str, a: str, b: str, portion: int = PORTION, common: int | None = None) -> DataFrame:
     """(a, b), a < b: the distinct pairs of members of ``keyed(member, key)`` that share a key.
 
     Keys of one member drop out before any row is joined. A block above ``portion`` members is dealt into portions and
     each pair of portions is compared by itself, so a key that holds a third of all rows spreads over many tasks and no
     pair is lost. (The join with the sizes has one row a key on its small side; the engine splits it where a key is hot.)
     The pairs of a block number n^2 / 2 all the same: keys have to be made so that only near members meet.
+
+    With ``common``, keys that are marked ``spare`` are discarded above so many members; other keys must cover them.
     """
-    rows = keyed.select(member, "key").distinct()
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / portion).cast("int"))
+    spare = F.col("spare") if "spare" in keyed.columns else F.lit(False)
+    rows = keyed.select(member, "key", spare.alias("spare")).distinct()
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.bool_and("spare").alias("spare")).where("n > 1")
+    if common is not None:
+        sizes = sizes.where(~F.col("spare") | (F.col("n") <= common))
+    rows = rows.select(member, "key").join(sizes.select("key", "n"), "key").withColumn("parts", F.ceil(F.col("n") / portion).cast("int"))
     mine = F.pmod(F.xxhash64(F.lit(7), member), F.col("parts")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("key", member, "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))

@@ -140,12 +140,17 @@ def split_company(text: str) -> tuple[str, str]:
 
 
 def same_given(a: str, b: str) -> bool:
-    """Given names of one family agree: by their initial, unless both are known names and differ, or up to a typo."""
+    """Given names of one family agree: an initial by the initial, known names if they are equal, others up to a typo (with a
+    known name of the same initial, up to two) or as an abbreviation of up to three letters."""
     if not a or not b:
         return False
+    if len(a) == 1 or len(b) == 1:
+        return a[0] == b[0]
     if a in _GIVEN and b in _GIVEN:
         return a == b
-    return a[0] == b[0] or (len(a) > 1 and len(b) > 1 and lcs_ratio(a, b) >= 0.8)
+    short, long = sorted((a, b), key=len)
+    least = 0.7 if a[0] == b[0] and (a in _GIVEN or b in _GIVEN) else 0.8
+    return lcs_ratio(a, b) >= least or (len(short) <= 3 < len(long) and a[0] == b[0] and lcs_length(short, long) == len(short))
 
 
 def same_line(a: str, b: str) -> bool:
