@@ -22,7 +22,7 @@ def block_pairs(keyed: DataFrame, member: str, a: str, b: str, portion: int = PO
     With ``common``, keys that are marked ``spare`` are discarded above so many members; other keys must cover them.
     """
     spare = F.col("spare") if "spare" in keyed.columns else F.lit(False)
-    rows = keyed.select(member, "key", spare.alias("spare")).distinct()
+    rows = keyed.select(member, "key", spare.alias("spare"))  # repeated rows cost work and change nothing
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.bool_and("spare").alias("spare")).where("n > 1")
     if common is not None:
         sizes = sizes.where(~F.col("spare") | (F.col("n") <= common))
