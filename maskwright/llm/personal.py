@@ -1,10 +1,12 @@
 """Problem 3: personal information inside free text.
 
 Information-theoretic sanitisation. One pass over the corpus counts how often each term stands next to a protected
-entity and how often it stands at all; the pointwise information between the two is what the term discloses. Terms of
-names (given and family) that exceed the disclosure threshold are taken for protected wherever they stand together;
-numbers are taken by their shape alone if the shape discloses enough, and else by the disclosure of the label in front
-of them. Everything taken is generalised to a typed placeholder, the rest of the text stays as it is.
+entity and how often it stands at all; the pointwise information between the two is what the term discloses. Evidence of
+family names are titles, initials, "Family, Given", given names of a prior (optional) and values known to be persons.
+Terms above the threshold are protected; capitalised words that stand before protected terms are rated in the same way
+and become given names, on no list, and words after these become family names in turn. Numbers and addresses are taken by
+their shape; where the shape says too little, by the label before them, which is a given list: texts alone don't tell a
+member number from an invoice number. Everything taken is generalised to a typed placeholder, the rest stays as it is.
 
 Only the statistics cross the network: (term, counts) combined within each task, then by term. Terms above the
 threshold are joined back by term, text by text, never sent around as a whole table.
@@ -57,11 +59,17 @@ _CITY = rf"(?:(?:[A-Z][\w'-]*\s){{0,2}}[A-Z][\w'-]*,?\s(?:{_STATE})\b(?:,?\s\d{{
 _BOX = r"P\.?\s?O\.?\sBox\s\d{1,6}\b"
 ADDRESS = re.compile(rf"(?<![\w-])(?:(?:{_UNIT}),?\s)?(?:{_STREET}|{_BOX})(?:,?\s(?:{_UNIT}))?(?:,?\s(?:{_CITY}|\d{{5}}(?:-\d{{4}})?\b(?![\s-]\d)))?", re.IGNORECASE)
 
+#: International bank account numbers: country, check digits, groups.
+IBAN = re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w-])")
+
 #: Words that can label a number in the words before it.
-ID_LABELS = frozenset("ssn itin tin ein dl passport licence license member medicare medicaid account acct card visa mastercard amex social security soc policy subscriber patient tax insurance routing iban".split())
+ID_LABELS = frozenset("ssn itin tin ein dl passport licence license member medicare medicaid account acct card visa mastercard amex social security soc policy subscriber patient tax insurance routing iban nhs national".split())
+#: Words that may stand between a label and its number.
+FILLERS = frozenset("no number id num nr holder reference ref is was are".split())
 _LAST_WORDS = re.compile(r"[A-Za-z][A-Za-z'’-]*")
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?")
+#: Prior: given names that count as evidence from the first. An empty set leaves all to the other evidence.
 GIVEN = frozenset(GIVEN_NAMES) | frozenset(NICKNAMES) | frozenset("álvaro amélie béla chloé inés jiří jürgen noël óscar rené søren zoë".split())
 
 #: Given names that are ordinary words in lower case.
@@ -82,13 +90,21 @@ def _mask(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
+_CLAUSE = re.compile(r"[;|\n\x00]|[a-z]{3,}[.?!]\s")
+
+
 def labelled(text: str, at: int) -> bool:
-    """A word within the last words of the clause before ``at`` labels what follows as an identity number."""
-    head = text[max(0, at - 40) : at]
-    head = re.split(r"[;|\n\x00]|[a-z]{3,}[.?!]\s", head)[-1]
-    words = [w.lower() for w in _LAST_WORDS.findall(head)][-4:]
-    while words and words[-1] in ("no", "number", "id", "num", "nr", "holder"):
-        words.pop()
+    """The clause before ``at`` ends in a word that labels what follows as an identity number, fillers left out."""
+    reach = 40
+    while True:
+        head = text[max(0, at - reach) : at]
+        clause = _CLAUSE.split(head)[-1]
+        words = [w.lower() for w in _LAST_WORDS.findall(clause)]
+        while words and words[-1] in FILLERS:
+            words.pop()
+        if len(words) > 2 or len(clause) < len(head) or reach >= at:
+            break
+        reach *= 4  # nothing but fillers so far
     return bool(words) and (words[-1] in ID_LABELS or words[-1].rstrip("s") in ID_LABELS or (len(words) > 1 and words[-1] in ("sec",) and words[-2] == "soc"))
 
 
@@ -113,7 +129,8 @@ def shaped(text: str) -> list[tuple[int, int, str]]:
         take(EMAIL, "EMAIL")
     if not _DIGIT.search(rest):
         return found
-    take(CARD, "ID_NUMBER", lambda m: True)
+    take(IBAN, "ID_NUMBER")
+    take(CARD, "ID_NUMBER")
     take(SSN, "ID_NUMBER")
     take(NUMBER, "ID_NUMBER", lambda m: labelled(rest, m.start()))
     take(ADDRESS, "ADDRESS", lambda m: bool(re.search(r"[A-Za-z]", m.group())))
@@ -145,12 +162,12 @@ def terms_of(text: str) -> list[str]:
     return [w.rstrip(".") for w in TOKEN.findall(text.lower())]
 
 
-def may_name(text: str, terms: list[str]) -> bool:
-    """Some group of words can be built like a name."""
-    return not GIVEN.isdisjoint(terms) or _INITIAL.search(text) is not None or _TITLE.search(text) is not None
+def may_name(text: str, terms: list[str], prior: frozenset[str] = GIVEN) -> bool:
+    """Some group of words can be built like a name with a given name of the prior, an initial or a title."""
+    return not prior.isdisjoint(terms) or _INITIAL.search(text) is not None or _TITLE.search(text) is not None
 
 
-def name_candidates(text: str) -> list[tuple[int, int, str, str]]:
+def name_candidates(text: str, prior: frozenset[str] = GIVEN) -> list[tuple[int, int, str, str]]:
     """(start, end, term, form): word groups built like a name, with the family term whose disclosure decides.
 
     Forms: ``full`` given name and family, ``comma`` family before given name, ``initial`` initials and family, ``title``
@@ -159,7 +176,7 @@ def name_candidates(text: str) -> list[tuple[int, int, str, str]]:
     words = _words(text)
     low = [w[2].rstrip(".").lower() for w in words]
     n = len(words)
-    given = [w in GIVEN and not (words[i][2][0].islower() and (w in PROSE_NAMES or _BROKEN.search(text[max(0, words[i][0] - 4) : words[i][0]]) is not None)) for i, w in enumerate(low)]
+    given = [w in prior and not (words[i][2][0].islower() and (w in PROSE_NAMES or _BROKEN.search(text[max(0, words[i][0] - 4) : words[i][0]]) is not None)) for i, w in enumerate(low)]
     gap = lambda i: text[words[i][1] : words[i + 1][0]] if i + 1 < n else ""
     space = lambda i: gap(i) in (" ", "\n", "  ", "\r\n", "\t")
     initial = lambda i: i < n and len(low[i]) == 1 and words[i][2].endswith(".")
@@ -192,6 +209,25 @@ def name_candidates(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+_BIG = r"[^\W\d_a-zß-ÿ][^\W\d_]+(?:['’-][^\W\d_]+)*"
+_PAIR = re.compile(rf"(?<![^\W_])(?<![^\W_]['’.-])({_BIG})((?:\s[^\W\d_a-z]\.){{0,2}}\s|,\s)({_BIG})((?:\s[^\W\d_a-z]\.){{0,2}})(?![\w@])(?!\s[^\W\d_a-z]|['’-]\w)")
+
+
+def pair_candidates(text: str, prior: frozenset[str] = GIVEN) -> list[tuple[int, int, str, str]]:
+    """(start, end, first, term): the last two of a run of capitalised words, or two with a comma between them and the
+    family name in front, if the first name is none of the prior.
+
+    Whether they are a name, the information of both terms decides.
+    """
+    out = []
+    for m in _PAIR.finditer(text):
+        comma = m[2][0] == ","
+        first, term = (m[3].lower(), m[1].lower()) if comma else (m[1].lower(), m[3].lower())
+        if first not in prior and first not in TITLES and term not in TITLES:
+            out.append((m.start(), m.end() if comma else m.end(3), first, term))
+    return out
+
+
 def counted(text: str, found: list[tuple[int, int, str, str]]) -> list[str]:
     """Terms that stand in a name-like group; what follows "Family, Given" is no name and a lower-case comma may be the sentence's."""
     out, comma_end = [], -1
@@ -214,8 +250,8 @@ def disclosure(seen, beside, p_beside: float):
 
 # ---- distributed --------------------------------------------------------------------------------------------------
 
-FOUND = pa.schema([("src", pa.string()), ("row_id", pa.int64()), ("start", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("term", pa.string()), ("seen", pa.int64()), ("beside", pa.int64())])
-FOUND_DDL = "src string, row_id bigint, start int, kind string, value string, term string, seen bigint, beside bigint"
+FOUND = pa.schema([("src", pa.string()), ("row_id", pa.int64()), ("start", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("term", pa.string()), ("first", pa.string()), ("seen", pa.int64()), ("beside", pa.int64())])
+FOUND_DDL = "src string, row_id bigint, start int, kind string, value string, term string, first string, seen bigint, beside bigint"
 #: Terms held by a task before their counts are handed on.
 MAX_TERMS = 200_000
 
@@ -225,62 +261,91 @@ def hidden(text: str, inside: str | None) -> str:
     return text.replace(inside, "\x00" * len(inside)) if inside else text
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(prior: frozenset[str]):
     """Found values, name candidates and term counts of each text in one pass over it."""
-    seen: Counter = Counter()
-    beside: Counter = Counter()
-
-    def counts() -> pa.RecordBatch:
-        terms = list(seen)
-        n = len(terms)
-        columns = [[None] * n, [None] * n, [None] * n, ["TERM"] * n, [None] * n, terms, list(seen.values()), [beside[t] for t in terms]]
-        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND)], schema=FOUND)
-        seen.clear(), beside.clear()
-        return batch
-
-    for batch in batches:
-        rows: list[tuple] = []
-        for src, row_id, text, inside in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            text = hidden(text, inside)
-            spans = shaped(text)
-            have = set()
-            for a, b, kind in spans:
-                if (kind, text[a:b]) not in have:
-                    have.add((kind, text[a:b]))
-                    rows.append((src, row_id, a, kind, text[a:b], None, 0, 0))
-            rest = _mask(text, [(a, b) for a, b, _ in spans])
-            terms = terms_of(rest)
-            seen.update(terms)
-            if may_name(rest, terms):
-                found = name_candidates(rest)
-                beside.update(counted(rest, found))
-                for a, b, term, form in found:
-                    if form != "title" and text[a:b] not in have:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        beside: Counter = Counter()
+
+        def counts() -> pa.RecordBatch:
+            terms = list(seen)
+            n = len(terms)
+            columns = [[None] * n, [None] * n, [None] * n, ["TERM"] * n, [None] * n, terms, [None] * n, list(seen.values()), [beside[t] for t in terms]]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND)], schema=FOUND)
+            seen.clear(), beside.clear()
+            return batch
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for src, row_id, text, inside, etype in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if etype == "PERSON" and inside:  # a value known to be a person: its last word, or the one before a comma
+                    known = terms_of(inside.split(",")[0])
+                    if known:
+                        seen[known[-1]] += 1
+                        beside[known[-1]] += 1
+                text = hidden(text, inside)
+                spans = shaped(text)
+                have = set()
+                for a, b, kind in spans:
+                    if (kind, text[a:b]) not in have:
+                        have.add((kind, text[a:b]))
+                        rows.append((src, row_id, a, kind, text[a:b], None, None, 0, 0))
+                rest = _mask(text, [(a, b) for a, b, _ in spans])
+                terms = terms_of(rest)
+                seen.update(terms)
+                pairs = pair_candidates(rest, prior)
+                if may_name(rest, terms, prior):
+                    found = name_candidates(rest, prior)
+                    beside.update(counted(rest, found))
+                    whole = {b: a for a, b, _, form in found if form in ("full", "comma")}
+                    pairs = [p for p in pairs if p[1] not in whole]
+                    longer = {p[1]: p[2] for p in pairs}  # with a given name in front of the initial, if it is one
+                    for a, b, term, form in found:
+                        if form != "title" and text[a:b] not in have:
+                            have.add(text[a:b])
+                            rows.append((src, row_id, a, "PERSON", text[a:b], term, longer.get(b) if form == "initial" else None, 0, 0))
+                for a, b, first, term in pairs:
+                    if text[a:b] not in have:
                         have.add(text[a:b])
-                        rows.append((src, row_id, a, "PERSON", text[a:b], term, 0, 0))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), FOUND)], schema=FOUND)
-        if len(seen) > MAX_TERMS:
+                        rows.append((src, row_id, a, "PAIR", text[a:b], term, first, 0, 0))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), FOUND)], schema=FOUND)
+            if len(seen) > MAX_TERMS:
+                yield counts()
+        if seen:
             yield counts()
-    if seen:
-        yield counts()
+
+    return run
 
 
-def personal_values(texts: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
+def personal_values(texts: DataFrame, threshold: float = DISCLOSURE, prior: frozenset[str] = GIVEN) -> DataFrame:
     """(src, row_id, start, kind, value) of ``texts(src, row_id, text, inside)``; ``inside`` is left out of the text.
 
-    One row per distinct value of a text and kind. Null and empty texts give no row.
+    One row per distinct value of a text and kind. Null and empty texts give no row. A column ``etype`` says what
+    ``inside`` is; persons among them are evidence. ``prior`` are given names taken for such without evidence.
     """
-    held = texts.where("text IS NOT NULL").select("src", F.col("row_id").cast("bigint").alias("row_id"), "text", "inside")
-    read = cut(held.mapInArrow(_read, FOUND_DDL))
-    terms = read.where("kind = 'TERM'").groupBy("term").agg(F.sum("seen").alias("seen"), F.sum("beside").alias("beside"))
-    terms = cut(terms.where("beside > 0").unionByName(terms.agg(F.lit(None).cast("string").alias("term"), F.sum("seen").alias("seen"), F.sum("beside").alias("beside"))))
-    total = terms.where("term IS NULL").first()
+    if "etype" not in texts.columns:
+        texts = texts.withColumn("etype", F.lit(None).cast("string"))
+    held = texts.where("text IS NOT NULL").select("src", F.col("row_id").cast("bigint").alias("row_id"), "text", "inside", "etype")
+    read = cut(held.mapInArrow(_read(prior), FOUND_DDL))
+    terms = cut(read.where("kind = 'TERM'").groupBy("term").agg(F.sum("seen").alias("seen"), F.sum("beside").alias("beside")))
+    total = terms.agg(F.sum("seen").alias("seen"), F.sum("beside").alias("beside")).first()
     p_beside = max(1, total["beside"] or 0) / max(1, total["seen"] or 0)
-    names = terms.where("term IS NOT NULL").withColumn("bits", disclosure(F.col("seen"), F.col("beside"), p_beside)).where(F.col("bits") >= threshold).select("term")
-    shapes = read.where("kind NOT IN ('TERM', 'PERSON')").select("src", "row_id", "start", "kind", "value")
-    persons = read.where("kind = 'PERSON'").join(names, "term", "left_semi").select("src", "row_id", "start", "kind", "value")
-    return shapes.unionByName(persons)
+    above = lambda of, beside: of.where(disclosure(F.col("seen"), F.col(beside), p_beside) >= threshold)
+    families = above(terms, "beside").select("term")
+    pairs = read.where("kind = 'PAIR'").select("src", "row_id", "start", "value", "term", "first")
+    # given names: what stands before family names; further family names: what stands after given names
+    before = pairs.where("NOT value LIKE '%,%'").join(families, "term", "left_semi").groupBy("first").agg(F.count("*").alias("n")).where("n > 1")
+    givens = cut(above(before.join(terms.select(F.col("term").alias("first"), "seen"), "first"), "n").select("first"))
+    likely = cut(pairs.join(givens, "first", "left_semi"))
+    after = likely.groupBy("term").agg(F.count("*").alias("n")).join(terms.select("term", "seen"), "term")
+    names = families.unionByName(above(after, "n").select("term")).distinct()
+
+    shapes = read.where("kind NOT IN ('TERM', 'PERSON', 'PAIR')").select("src", "row_id", "start", "kind", "value")
+    persons = read.where("kind = 'PERSON'").join(names, "term", "left_semi").join(givens, "first", "left_anti").select("src", "row_id", "start", "kind", "value")
+    unlisted = likely.join(names, "term", "left_semi").select("src", "row_id", "start", F.lit("PERSON").alias("kind"), "value")
+    return shapes.unionByName(persons).unionByName(unlisted)
 
 
 _WORD_START = re.compile(r"(?<![^\W_])\S|[^\w\s]|_")
@@ -355,7 +420,7 @@ def _redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"src": pdf["src"], "row_id": pdf["row_id"], "values": count, "redacted": [replaced(t, v, o) for t, v, o in zip(pdf["text"], found, own)]})
 
 
-def redacted_texts(texts: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
+def redacted_texts(texts: DataFrame, threshold: float = DISCLOSURE, prior: frozenset[str] = GIVEN) -> DataFrame:
     """(src, row_id, values, redacted): each text with its values replaced by ``[KIND]``; texts without any come out as they are.
 
     Here ``inside`` isn't left out: the whole text is searched, and ``inside`` itself is replaced by the placeholder of
@@ -364,6 +429,6 @@ def redacted_texts(texts: DataFrame, threshold: float = DISCLOSURE) -> DataFrame
     """
     if "etype" not in texts.columns:
         texts = texts.withColumn("etype", F.lit(None).cast("string"))
-    found = personal_values(texts.withColumn("inside", F.when(F.col("etype") == "ORG", F.col("inside"))), threshold).groupBy("src", "row_id").agg(F.collect_list(F.struct("kind", "value")).alias("found"))
+    found = personal_values(texts.withColumn("inside", F.when(F.col("etype") == "ORG", F.col("inside"))), threshold, prior).groupBy("src", "row_id").agg(F.collect_list(F.struct("kind", "value")).alias("found"))
     held = texts.where("text IS NOT NULL").select("src", F.col("row_id").cast("bigint").alias("row_id"), "text", "inside", "etype")
     return held.join(found, ["src", "row_id"], "left").mapInPandas(_redact, "src string, row_id bigint, values int, redacted string")

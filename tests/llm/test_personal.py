@@ -1,6 +1,6 @@
 import pytest
 
-from maskwright.llm.personal import disclosure, name_candidates, personal_values, redacted_texts, replaced, shaped
+from maskwright.llm.personal import ENTITY_KINDS, disclosure, labelled, name_candidates, pair_candidates, personal_values, redacted_texts, replaced, shaped
 
 SCHEMA = "src string, row_id bigint, text string, inside string"
 
@@ -22,6 +22,10 @@ SCHEMA = "src string, row_id bigint, text string, inside string"
         ("licence no. D302-0454-5007.", "ID_NUMBER", "D302-0454-5007"),
         ("Passport #X36926958.", "ID_NUMBER", "X36926958"),
         ("policy holder no. QW3688154 was", "ID_NUMBER", "QW3688154"),
+        ("The tax reference is 44556677.", "ID_NUMBER", "44556677"),
+        ("NHS number 943 476 5919.", "ID_NUMBER", "943 476 5919"),
+        ("national id 8812345678 was", "ID_NUMBER", "8812345678"),
+        ("pay to GB29 NWBK 6016 1331 9268 19 today", "ID_NUMBER", "GB29 NWBK 6016 1331 9268 19"),
         ("card 4111 1111 1111 1111.", "ID_NUMBER", "4111 1111 1111 1111"),
         ("at 3966 Elm Cir, Apt 49, Larch Falls, KS 76061 today", "ADDRESS", "3966 Elm Cir, Apt 49, Larch Falls, KS 76061"),
         ("at Apt 70, 9482 North Elm Terrace; work", "ADDRESS", "Apt 70, 9482 North Elm Terrace"),
@@ -110,3 +114,56 @@ def test_overlapping_values_leave_no_rest():
     assert replaced("by R. Hnrietta Salgurbur.", [("PERSON", "R. Hnrietta")], ("PERSON", "Hnrietta Salgurbur")) == "by [PERSON]."
     assert replaced("Li met Lila, Li", [], ("PERSON", "Li")) == "[PERSON] met Lila, [PERSON]"
     assert replaced("no.x9001y", [], ("ID_NUMBER", "9001")) == "no.x[ID_NUMBER]y"
+
+
+def test_labels_are_found_however_far_they_stand():
+    far = "member " + "number id " * 60
+    assert labelled(far, len(far)) and not labelled("invoice " + far[7:], len(far) + 1) and not labelled("number " * 200, 1400)
+    assert not labelled("Signed by a member. It was number ", 34)
+
+
+def test_pairs_of_capitalised_words():
+    assert pair_candidates("then Priya K. Natarajan left, as Volkov, Dmitri did; North Long Way Home", frozenset()) == [(5, 23, "priya", "natarajan"), (33, 47, "dmitri", "volkov"), (64, 72, "way", "home")]
+    assert pair_candidates("mail Priya Natarajan@x.test and O'Neil-Natarajan", frozenset()) == []
+
+
+FAMILIES = ["Natarajan", "Volkov", "Zhang", "Okafor", "Lindqvist", "Haddad"]
+GIVENS = ["Priya", "Dmitri", "Wei", "Chidi", "Saoirse", "Layla"]
+
+
+@pytest.mark.parametrize("prior", [None, frozenset()])
+def test_names_on_no_list(spark, prior):
+    """Families are known by titles and initials in some texts; given names by standing before them; both then by each other."""
+    rows = [("text", i, f"{PROSE} At noon Dr. {f} met {g[0]}. {f} there. The letter was by {g} {f} alone.", None) for i, (g, f) in enumerate((g, f) for g in GIVENS for f in FAMILIES)]
+    rows += [("text", 100, f"{PROSE} Then Priya Ramanujan and also Priya Ramanujan, with Ramanujan, Priya there.", None), ("text", 101, f"{PROSE} In Green Valley the Copper Room, and Long Harbour Plan of Green Valley.", None)]
+    found = personal_values(texts(spark, rows), **({} if prior is None else {"prior": prior})).where("kind = 'PERSON'").collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["row_id"], set()).add(r["value"])
+    for i, (g, f) in enumerate((g, f) for g in GIVENS for f in FAMILIES):
+        assert got[i] == {f"{g[0]}. {f}", f"{g} {f}"}
+    assert got[100] == {"Priya Ramanujan", "Ramanujan, Priya"} and 101 not in got
+
+
+def test_known_persons_are_evidence(spark):
+    rows = [("context", i, f"{PROSE} and {g} Natarajan with Thandeka {f} too", f"{g} Natarajan", "PERSON") for i, g in enumerate(GIVENS) for f in FAMILIES]
+    rows += [("context", 50 + i, f"{PROSE} by {f}, Priya here", f"{f}, Priya", "PERSON") for i, f in enumerate(FAMILIES)]
+    got = {r["value"] for r in personal_values(spark.createDataFrame(rows, SCHEMA + ", etype string"), prior=frozenset()).where("kind = 'PERSON'").collect()}
+    assert got == {f"Thandeka {f}" for f in FAMILIES}
+
+
+def test_no_known_value_survives(spark, small):
+    """Every context of the data: neither the value its detection is about nor any value found beside it is left."""
+    from maskwright.llm import queries
+
+    held = queries._free_texts(spark, small)
+    own = {(r["src"], r["row_id"]): r["inside"] for r in held.where("text IS NOT NULL AND inside IS NOT NULL").collect() if r["etype"] in ENTITY_KINDS}
+    out = {(r["src"], r["row_id"]): r["redacted"] for r in queries.p3_redacted(spark, small).collect()}
+    found = {}
+    for r in queries.p3_found(spark, small).collect():
+        found.setdefault((r["src"], r["row_id"]), set()).add(r["pii_text"])
+    import re
+
+    alone = lambda value, text: re.search(rf"(?<![^\W_]){re.escape(value)}(?![^\W_])", text)
+    assert len(own) > 300 and not [k for k, v in own.items() if v in out[k]]
+    assert not [(k, v) for k, vs in found.items() for v in vs if alone(v, out[k])]
