@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Members of one portion of a block. A block of n members becomes about (n / PORTION)^2 / 2 portions of pairs.
@@ -63,6 +64,16 @@ def may_hold(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ok
 
 
+def passes(held: np.ndarray, hashed: Column) -> Column:
+    """Whether a column of 64-bit hashes may be in the filter."""
+
+    @F.pandas_udf("boolean")
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(held, values.to_numpy(np.int64).view(np.uint64)))
+
+    return run(hashed)
+
+
 def may_hold_one(held: np.ndarray, h: int) -> bool:
     mask = len(held) * 64 - 1
     return all(int(held[(p := (h >> s) & mask) >> 6]) >> (p & 63) & 1 for s in _SHIFTS)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.llm.blocks import passes, value_filter
 from maskwright.llm.names import GIVEN_NAMES, NICKNAMES, TITLES
 from maskwright.llm.places import DIRECTIONS, KINDS, STATES
 from maskwright.runtime import cut
@@ -429,6 +430,12 @@ def redacted_texts(texts: DataFrame, threshold: float = DISCLOSURE, prior: froze
     """
     if "etype" not in texts.columns:
         texts = texts.withColumn("etype", F.lit(None).cast("string"))
-    found = personal_values(texts.withColumn("inside", F.when(F.col("etype") == "ORG", F.col("inside"))), threshold, prior).groupBy("src", "row_id").agg(F.collect_list(F.struct("kind", "value")).alias("found"))
+    values = cut(personal_values(texts.withColumn("inside", F.when(F.col("etype") == "ORG", F.col("inside"))), threshold, prior))
+    row = F.xxhash64("src", "row_id")
+    concerned = passes(value_filter(values.select(row.alias("h")), "h"), row)
+    found = values.groupBy("src", "row_id").agg(F.collect_list(F.struct("kind", "value")).alias("found"))
     held = texts.where("text IS NOT NULL").select("src", F.col("row_id").cast("bigint").alias("row_id"), "text", "inside", "etype")
-    return held.join(found, ["src", "row_id"], "left").mapInPandas(_redact, "src string, row_id bigint, values int, redacted string")
+    # only texts with something found are shuffled to meet it
+    near, far = held.where(concerned), held.where(~concerned).withColumn("found", F.lit(None).cast("array<struct<kind:string,value:string>>"))
+    met = near.join(found, ["src", "row_id"], "left").select(far.columns)
+    return met.unionByName(far).mapInPandas(_redact, "src string, row_id bigint, values int, redacted string")
