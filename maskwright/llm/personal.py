@@ -49,7 +49,7 @@ PHONE = re.compile(
 )
 SSN = re.compile(r"(?<![\w.-])\d{3}[- ]\d{2}[- ]\d{4}(?![\w]|-\d)")
 CARD = re.compile(r"(?<![\w.-])(?:\d{4}[- ]?){3}\d{4}(?![\w]|-\d)")
-NUMBER = re.compile(r"(?<![\w.$,/+-])(?=[A-Z0-9 -]*\d[A-Z0-9 -]*\d[A-Z0-9 -]*\d[A-Z0-9 -]*\d)[A-Z]{0,3}\d[A-Z0-9]*(?:[- ](?=[A-Z0-9]*\d)[A-Z0-9]+)*(?![\w]|[-.]\d)", re.IGNORECASE)
+NUMBER = re.compile(r"(?<![\w.$,/+-])(?=[A-Z]{0,3}\d)(?=[A-Z0-9 -]*\d[A-Z0-9 -]*\d[A-Z0-9 -]*\d[A-Z0-9 -]*\d)[A-Z]{0,3}\d[A-Z0-9]*(?:[- ](?=[A-Z0-9]*\d)[A-Z0-9]+)*(?![\w]|[-.]\d)", re.IGNORECASE)
 
 _KIND = "|".join(sorted(KINDS, key=len, reverse=True))
 _DIR = "|".join(sorted(DIRECTIONS, key=len, reverse=True))
@@ -91,6 +91,8 @@ def _mask(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
+#: What every text with a labelled number has.
+_SOME_LABEL = re.compile(rf"(?<![A-Za-z])(?:{'|'.join(sorted(ID_LABELS))})", re.IGNORECASE)
 _CLAUSE = re.compile(r"[;|\n\x00]|[a-z]{3,}[.?!]\s")
 
 
@@ -133,7 +135,8 @@ def shaped(text: str) -> list[tuple[int, int, str]]:
     take(IBAN, "ID_NUMBER")
     take(CARD, "ID_NUMBER")
     take(SSN, "ID_NUMBER")
-    take(NUMBER, "ID_NUMBER", lambda m: labelled(rest, m.start()))
+    if _SOME_LABEL.search(rest):
+        take(NUMBER, "ID_NUMBER", lambda m: labelled(rest, m.start()))
     take(ADDRESS, "ADDRESS", lambda m: bool(re.search(r"[A-Za-z]", m.group())))
     take(PHONE, "PHONE", lambda m: not _toll_free(m.group()))
     return found
