@@ -5,20 +5,26 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import shutil
 import sys
 from datetime import datetime, timezone
+from typing import TextIO
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.operators import resolve
+from maskwright.operators import models, names, resolve
 from maskwright.operators.rules import Rule, RuleStore, active_rules, test_pattern
-from maskwright.operators.tables import output_path
+from maskwright.operators.spans import apply_replacements
+from maskwright.operators.tables import output_path, replace_in_cell
 from maskwright.plans.pipeline import detect, detection_rows
 from maskwright.runtime import cut, exploded, get_spark
-from maskwright.sinks.files import write_texts
+from maskwright.sinks import redaction
+from maskwright.sinks.files import write_contents, write_texts, write_workbooks
 from maskwright.sources import files
 
-MAPPINGS, RULES, IGNORED, CONFIG = "mappings.json", "custom-rules.json", "ignored.json", "config.json"
+MAPPINGS, RULES, IGNORED, CONFIG = "mappings.json", "custom-rules.json", files.IGNORE_LIST, "config.json"
+MODELS = {"model": "models/names", "smart-detection": "models/classifier"}
 
 
 def _records(folder: str, name: str) -> list[dict]:
@@ -43,39 +49,117 @@ def _now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
 
-def scan(args: argparse.Namespace) -> list[dict]:
-    """Detections of files, ignored texts left out; a file that can't be read is reported and the others go on."""
+def _note(args: argparse.Namespace, text: str) -> None:
+    if not args.quiet:
+        print(text, file=sys.stderr)
+
+
+def _detected(args: argparse.Namespace, texts: DataFrame) -> DataFrame:
+    """Detections of texts by the rules in force, names by the word list of the settings or else that of the texts."""
+    given = os.path.join(args.folder, "common-words.txt")
+    common = names.word_list(given) if os.path.exists(given) else names.fitted_words(texts)
+    return detect(texts, rules=active_rules(_rules(args.folder)), detectors=[models.onnx_detector(os.path.join(args.folder, MODELS["model"])), names.dictionary_detector(common)])
+
+
+def scan(args: argparse.Namespace) -> object:
+    """Detections of files, ignored texts left out; a file that can't be read is reported and the others go on.
+
+    One object for a single file, a list for several, an empty list for none.
+    """
     spark = get_spark()
-    texts = cut(files.read_texts(files.list_files(spark, args.path, args.recursive)))
+    texts = cut(files.read_texts(files.list_files(spark, files.validate_path(args.path), args.recursive), files.Config.load(os.path.join(args.folder, CONFIG)).ocr_language))
     for r in texts.where("error IS NOT NULL").select("path", "error").toLocalIterator():
-        print(f"{r['path']}: {r['error']}", file=sys.stderr)
-    found = detection_rows(detect(texts.where("error IS NULL"), rules=active_rules(_rules(args.folder))), ["path"])
+        _note(args, f"{r['path']}: {r['error']}")
+    good = texts.where("error IS NULL")
+    found = detection_rows(_detected(args, good), ["path"])
     ignored = files.read_store(spark, os.path.join(args.folder, IGNORED), resolve.IGNORED)
     rows = resolve.drop_ignored(found, ignored).orderBy("path", "start").toLocalIterator()
-    out: dict[str, list[dict]] = {r["path"]: [] for r in texts.where("error IS NULL").select("path").toLocalIterator()}
+    out: dict[str, list[dict]] = {r["path"]: [] for r in good.select("path").orderBy("path").toLocalIterator()}
     for r in rows:
         out[r["path"]].append({k: r[k] for k in ("entity_type", "matched_text", "rule_name", "start", "end", "context")})
-    return [{"file": p, "detections": d} for p, d in out.items()]
+    report = [{"file": p, "detections": d} for p, d in out.items()]
+    return report[0] if len(report) == 1 and os.path.isfile(args.path) else report
+
+
+def review(args: argparse.Namespace, resolved: DataFrame, ignored: list[dict], answers: TextIO) -> DataFrame:
+    """Decisions (path, start, action, replacement) of a person, one detection at a time in order of file and place.
+
+    y or nothing accepts, e takes another replacement from the next line, n rejects, i rejects and ignores the text in all
+    files that follow, a accepts this and all others, q or the end of input stops; what is accepted by then is written.
+    """
+    said: list[tuple] = []
+    listed = {e["text"].lower() for e in ignored}
+    every, last, fresh = False, None, set()
+    for r in resolved.orderBy("path", "start").select("path", "start", "matched_text", "entity_type", "replacement").toLocalIterator():
+        if r["path"] != last:
+            last, listed, fresh = r["path"], listed | fresh, set()
+        if r["matched_text"].lower() in listed:
+            continue
+        action, other = "accept", None
+        if not every:
+            _note(args, f"{r['path']} at {r['start']}: {r['entity_type']} {r['matched_text']!r} -> {r['replacement']!r} [y/e/n/i/a/q]")
+            line = answers.readline()
+            answer = line.strip().lower() or ("y" if line else "q")
+            if answer == "q":
+                break
+            every = answer == "a"
+            if answer == "e":
+                action, other = "edit", answers.readline().rstrip("\r\n") or None
+            elif answer in ("n", "i"):
+                action = "reject"
+                if answer == "i":
+                    fresh.add(r["matched_text"].lower())
+                    ignored.append({"text": r["matched_text"], "entity_type": r["entity_type"], "created": _now(), "reason": "review"})
+        said.append((r["path"], r["start"], action, other))
+    return resolved.sparkSession.createDataFrame(said, "path string, start int, action string, replacement string")
 
 
-def process(args: argparse.Namespace) -> dict:
-    """Covers files with all detections accepted, keeps the mappings used, writes the covered files."""
+def _written(spark: SparkSession, listed: DataFrame, texts: DataFrame, accepted: DataFrame, config: files.Config) -> DataFrame:
+    """Writes each file with something accepted in its own kind: (output_path, status, error)."""
+    spans = accepted.groupBy("path").agg(F.collect_list(F.struct("start", "end", "replacement", F.lit(True).alias("accepted"))).alias("spans"))
+    pairs = accepted.groupBy("path").agg(F.transform(F.array_sort(F.collect_set(F.struct((-F.length("matched_text")).alias("n"), F.col("matched_text").alias("original"), "replacement"))), lambda p: F.struct(p["original"], p["replacement"])).alias("pairs"))
+    target = output_path(F.regexp_replace("path", "^file:", ""), config.output_pattern, config.output_directory).alias("output_path")
+    kind = F.col("doc_type")
+    paged = redaction.can_render() and files.available("tesseract")
+    plain = texts.where((kind == "Text") | ((kind == "Pdf") & F.lit(not paged))).join(spans, "path").select(target, apply_replacements(F.col("text"), F.col("spans")).alias("output_text"))
+    cells = files.read_cells(listed).where("error IS NULL").join(pairs, "path").select(target, "sheet", "row", "col", replace_in_cell(F.col("value"), F.col("pairs")).alias("value"))
+    images = texts.where(kind == "Image").join(spans.select("path"), "path", "left_semi").select(target, F.lit("error").alias("status"), F.lit("an image can't be written as text").alias("error"))
+    done = write_texts(plain).unionByName(write_workbooks(cells)).unionByName(images)
+    if paged:
+        pages = redaction.redact_pdfs(listed.where(files.file_type(F.col("path")) == "Pdf").join(pairs.select("path"), "path", "left_semi").select("path", "content"), pairs)
+        done = done.unionByName(write_contents(pages.select(target, "content"))).unionByName(pages.where("error IS NOT NULL").select(target, F.lit("error").alias("status"), "error"))
+    return done
+
+
+def process(args: argparse.Namespace, answers: TextIO | None = None) -> dict:
+    """Covers files, keeps the mappings used, writes the covered files: texts as text, workbooks as workbooks, PDF files as pages.
+
+    With ``--auto-accept`` all detections are accepted, else each is reviewed.
+    """
     spark = get_spark()
     config = files.Config.load(os.path.join(args.folder, CONFIG))
-    texts = cut(files.read_texts(files.list_files(spark, args.path, args.recursive)).where("error IS NULL"))
-    found = cut(exploded(detect(texts, rules=active_rules(_rules(args.folder))), ["path"], F.col("detections")).select("path", "d.*"))
+    listed = files.list_files(spark, files.validate_path(args.path), args.recursive)
+    texts = cut(files.read_texts(listed, config.ocr_language))
+    good = texts.where("error IS NULL")
+    found = cut(exploded(_detected(args, good), ["path"], F.col("detections")).select("path", "d.*"))
     store = files.read_store(spark, os.path.join(args.folder, MAPPINGS), resolve.MAPPING)
     ignored = files.read_store(spark, os.path.join(args.folder, IGNORED), resolve.IGNORED)
     resolved = cut(resolve.resolve(resolve.drop_ignored(found, ignored), resolve.current_mappings(store)))
-    from maskwright.operators.spans import apply_replacements
-
-    spans = resolved.groupBy("path").agg(F.collect_list(F.struct("start", "end", "replacement", F.lit(True).alias("accepted"))).alias("spans"))
-    covered = texts.join(spans, "path").select(output_path(F.regexp_replace("path", "^file:", ""), config.output_pattern, config.output_directory).alias("output_path"), apply_replacements(F.col("text"), F.col("spans")).alias("output_text"))
-    written = write_texts(covered).collect()
-    used = resolved.select(F.col("matched_text").alias("original"), "replacement", "entity_type", F.struct("path", "start").alias("ord"))
+    accepted = resolved
+    if not args.auto_accept:
+        kept = _records(args.folder, IGNORED)
+        said = review(args, resolved, kept, answers or sys.stdin)
+        _keep(args.folder, IGNORED, kept)
+        keyed = lambda d: d.withColumn("det_key", F.struct("path", "start"))
+        accepted = cut(resolve.decide(keyed(resolved), keyed(said)).where("accepted").drop("det_key"))
+    done = cut(_written(spark, listed, good, accepted, config))
+    used = accepted.select(F.col("matched_text").alias("original"), "replacement", "entity_type", F.struct("path", "start").alias("ord"))
     os.makedirs(args.folder, mode=0o700, exist_ok=True)
-    files.write_store(resolve.upsert_mappings(store, used), os.path.join(args.folder, MAPPINGS))
-    return {"files_processed": texts.count(), "total_detections": found.count(), "accepted": resolved.count(), "output_files": sorted(r["output_path"] for r in written if r["status"] == "success")}
+    files.write_store(cut(resolve.upsert_mappings(store, used)), os.path.join(args.folder, MAPPINGS))
+    for r in done.where("status = 'error'").toLocalIterator():
+        _note(args, f"{r['output_path']}: {r['error']}")
+    counts = {k: d.count() for k, d in (("files_processed", good), ("total_detections", found), ("accepted", accepted))}
+    return counts | {"output_files": [r["output_path"] for r in done.where("status = 'success'").orderBy("output_path").toLocalIterator()]}
 
 
 def mappings(args: argparse.Namespace) -> object:
@@ -129,38 +213,72 @@ def config(args: argparse.Namespace) -> object:
         return files.export_archive(args.folder, args.key)
     elif args.action == "import":
         return files.import_archive(args.key, args.folder)
+    elif args.action == "logs":
+        return files.log_bundle(args.folder, args.key)
     elif args.action == "path":
         return path
     return held.__dict__
 
 
+def model(args: argparse.Namespace) -> object:
+    """Status, place and removal of the token classifier or the text classifier; fetching one needs a network and is refused."""
+    folder = os.path.join(args.folder, MODELS[args.command])
+    if args.action == "download":
+        raise SystemExit(f"there is no download here; put the model's files into {folder}")
+    if args.action == "path":
+        return folder
+    if args.action == "remove" and os.path.isdir(folder):
+        shutil.rmtree(folder)
+    return models.model_status(folder)
+
+
+def as_text(value: object, depth: int = 0) -> str:
+    """A result for a person to read: one line a record or key."""
+    if isinstance(value, dict):
+        return "\n".join(f"{k}: {as_text(v, depth + 1)}" for k, v in value.items()) if not depth else ", ".join(f"{k}={as_text(v, depth + 1)}" for k, v in value.items())
+    if isinstance(value, (list, tuple)):
+        return ("\n" if depth < 2 else "; ").join(as_text(v, depth + 1) for v in value)
+    return "" if value is None else str(value)
+
+
 def main(argv: list[str] | None = None) -> int:
-    parser = argparse.ArgumentParser(prog="maskwright", description=__doc__)
+    shared = argparse.ArgumentParser(add_help=False)
+    for flag, text in (("--json", "print JSON"), ("--quiet", "print no notes")):
+        shared.add_argument(flag, action="store_true", default=argparse.SUPPRESS, help=text)
+    parser = argparse.ArgumentParser(prog="maskwright", description=__doc__, parents=[shared])
     parser.add_argument("--folder", default=os.path.expanduser("~/.maskwright"), help="where mappings, rules and settings are kept")
     commands = parser.add_subparsers(dest="command", required=True)
     for name, run in (("scan", scan), ("process", process)):
-        p = commands.add_parser(name)
+        p = commands.add_parser(name, parents=[shared])
         p.add_argument("path")
         p.add_argument("-r", "--recursive", action="store_true")
+        if name == "process":
+            p.add_argument("--auto-accept", action="store_true", help="accept all detections without a review")
         p.set_defaults(run=run)
-    p = commands.add_parser("mappings")
+    p = commands.add_parser("mappings", parents=[shared])
     p.add_argument("action", choices=["list", "add", "remove"])
     p.add_argument("--original"), p.add_argument("--replacement"), p.add_argument("--type", default="PERSON")
     p.set_defaults(run=mappings)
-    p = commands.add_parser("rules")
+    p = commands.add_parser("rules", parents=[shared])
     p.add_argument("action", choices=["list", "add", "remove", "test"])
     p.add_argument("--name"), p.add_argument("--pattern"), p.add_argument("--type"), p.add_argument("--text", default="")
     p.set_defaults(run=rules)
-    p = commands.add_parser("ignore")
+    p = commands.add_parser("ignore", parents=[shared])
     p.add_argument("action", choices=["list", "add", "remove", "clear"])
     p.add_argument("--text"), p.add_argument("--type", default="UNKNOWN"), p.add_argument("--reason")
     p.set_defaults(run=ignore)
-    p = commands.add_parser("config")
-    p.add_argument("action", choices=["show", "set", "path", "export", "import"])
+    p = commands.add_parser("config", parents=[shared])
+    p.add_argument("action", choices=["show", "set", "path", "export", "import", "logs"])
     p.add_argument("key", nargs="?"), p.add_argument("value", nargs="?")
     p.set_defaults(run=config)
+    for name in MODELS:
+        p = commands.add_parser(name, parents=[shared])
+        p.add_argument("action", choices=["status", "path", "download", "remove"])
+        p.set_defaults(run=model)
     args = parser.parse_args(argv)
-    print(json.dumps(args.run(args), indent=2, ensure_ascii=False, default=str))
+    args.json, args.quiet = getattr(args, "json", False), getattr(args, "quiet", False)
+    result = args.run(args)
+    print(json.dumps(result, indent=2, ensure_ascii=False, default=str) if args.json else as_text(result))
     return 0
 
 

@@ -92,18 +92,52 @@ def read_answer(answer: str | None) -> str:
     return PERSONAL if PERSONAL in upper else PUBLIC if PUBLIC in upper else UNCERTAIN
 
 
-def keep_personal(detections: DataFrame, classify: Callable[[pd.DataFrame], list[str]] | None = None) -> DataFrame:
+#: Tokens of an answer at most.
+ANSWER_TOKENS = 10
+
+
+def prompt_of(text: str, entity_type: str, context: str) -> str:
+    """What a classifier is asked about one detection."""
+    return (
+        f"A document contains {text!r}, found as {entity_type}, in this context:\n{context}\n"
+        f"Is it personal information about a private individual, or public? Answer with one word, {PERSONAL} or {PUBLIC}."
+    )
+
+
+def prompting(load: Callable[[], Callable[[str, int], str]]) -> Callable[[], Callable[[pd.DataFrame], list[str]]]:
+    """A classifier out of a text model: ``load()`` gives generate(prompt, tokens at most), once a task. For ``keep_personal``."""
+
+    def loaded() -> Callable[[pd.DataFrame], list[str | None]]:
+        generate = load()
+
+        def answer(row) -> str | None:
+            try:
+                return generate(prompt_of(row.matched_text, row.entity_type, row.context), ANSWER_TOKENS)
+            except Exception:  # without an answer a detection is kept
+                return None
+
+        return lambda pdf: [answer(r) for r in pdf.itertuples(index=False)]
+
+    return loaded
+
+
+def keep_personal(detections: DataFrame, classify: Callable[[pd.DataFrame], list[str]] | None = None, load: Callable[[], Callable[[pd.DataFrame], list[str]]] | None = None) -> DataFrame:
     """Detections that a classifier doesn't call public; without one all stay.
 
-    ``classify`` gets batches of (matched_text, entity_type, context) and gives an answer each. What fails is kept.
+    ``classify`` gets batches of (matched_text, entity_type, context) and gives an answer each; ``load`` makes one, once a
+    task. What fails is kept.
     """
-    if classify is None:
+    if classify is None and load is None:
         return detections
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            ask = classify or load()
+        except Exception:  # a model that can't be loaded drops nothing
+            ask = lambda pdf: [None] * len(pdf)
         for pdf in batches:
             try:
-                answers = list(classify(pdf[["matched_text", "entity_type", "context"]]))
+                answers = list(ask(pdf[["matched_text", "entity_type", "context"]]))
             except Exception:  # without an answer a detection is kept
                 answers = [None] * len(pdf)
             yield pdf[[read_answer(a) != PUBLIC for a in answers]]

@@ -19,21 +19,20 @@ from maskwright.operators.rules import DETECTIONS
 AFTER_RULES = 500
 RULE_NAME = "NER (dictionary)"
 
-# Default of a parameter: ordinary words that are no part of a name when capitalised. A corpus-derived list can take its
-# place, see ``common_words_of``.
-COMMON_WORDS = frozenset(
-    """
-a an the this that these those my your his her its our their some any no every each all both few many what which i me we
-us you he him she it they them who in on at to for with from by about into through during before after above below
-between under over up down out off and but or nor so yet because although while since if then else is am are was were be
-been have has had do does did will would shall should may might can could must not also very however too now here there
-where when how why well only again once more less than like just one two three four five first second third last new
-good great long other old right high next early public same free full time year people way day man woman life place case
-company work government number home water name city state street avenue road drive lane court boulevard circle park
-account balance transaction transfer payment deposit statement history total amount date credit debit direct national
-bank federal county department university college school hospital center western eastern northern southern central
-general united please therefore meanwhile finally
-""".split()
+#: Words of the closed classes of English, by class: no name holds one of them. Ordinary nouns, verbs and adjectives are an
+#: open class and come from the texts themselves (``fitted_words``) or from a list that the caller has (``word_list``).
+FUNCTION_WORDS = frozenset(
+    " ".join(
+        [
+            "a an the",  # articles
+            "this that these those each every either neither some any no all both half several enough such what which whose",  # determiners
+            "i me my mine myself you your yours yourself he him his himself she her hers herself it its itself we us our ours ourselves they them their theirs themselves who whom one none",  # pronouns
+            "about above across after against along among around at before behind below beneath beside between beyond by despite down during except for from in inside into near of off on onto out outside over past per since through throughout to toward under until up upon via with within without",  # prepositions
+            "and or but nor so yet if unless because although though whereas while than as whether",  # conjunctions
+            "be am is are was were been being have has had having do does did done will would shall should can could may might must",  # auxiliaries
+            "not never always often again also too very just only even still already here there now then when where why how however therefore please",  # adverbs of time, place and degree
+        ]
+    ).split()
 )
 
 # Words of organisations, products and documents that no personal name holds.
@@ -88,7 +87,7 @@ def line_words(line: str) -> list[tuple[int, int, str, bool]]:
     return out
 
 
-def find_names(text: str, common: frozenset[str] = COMMON_WORDS, organisations: frozenset[str] = ORGANISATION_WORDS) -> list[tuple[int, int, str]]:
+def find_names(text: str, common: frozenset[str] = FUNCTION_WORDS, organisations: frozenset[str] = ORGANISATION_WORDS) -> list[tuple[int, int, str]]:
     """(start, end, type) of PERSON and ADDRESS spans; line by line, names before addresses."""
     found: list[tuple[int, int, str]] = []
     base = 0
@@ -121,7 +120,7 @@ def find_names(text: str, common: frozenset[str] = COMMON_WORDS, organisations:
     return found
 
 
-def dictionary_detector(common: frozenset[str] = COMMON_WORDS, organisations: frozenset[str] = ORGANISATION_WORDS) -> Callable[[Column], Column]:
+def dictionary_detector(common: frozenset[str] = FUNCTION_WORDS, organisations: frozenset[str] = ORGANISATION_WORDS) -> Callable[[Column], Column]:
     """A detector: text column to detections column. Null text gives no detections."""
 
     @F.pandas_udf(DETECTIONS)
@@ -151,8 +150,32 @@ def name_words(text: Column) -> Column:
 def common_words_of(texts, minimum: int = 3, text: str = "text"):
     """(word): words of a corpus that stand in lower case at least ``minimum`` times and more often than capitalised.
 
-    The list to give to ``dictionary_detector`` where the default is too small; counted over all texts.
+    Counted over all texts.
     """
+    return _counted(texts, minimum, text).select("word")
+
+
+def _counted(texts, minimum: int, text: str):
     words = texts.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?U)\p{L}+"), F.lit(0))).alias("w"))
     counted = words.groupBy(F.lower("w").alias("word")).agg(F.count_if(F.col("w") == F.lower("w")).alias("low"), F.count("*").alias("n"))
-    return counted.where((F.col("low") >= minimum) & (F.col("low") * 2 > F.col("n"))).select("word")
+    return counted.where((F.col("low") >= minimum) & (F.col("low") * 2 > F.col("n")))
+
+
+#: Ordinary words that a detector takes from a corpus at most: the commonest, at the end by alphabet.
+MAX_FITTED = 20_000
+
+
+def fitted_words(texts, minimum: int = 3, text: str = "text", at_most: int = MAX_FITTED) -> frozenset[str]:
+    """The list for ``dictionary_detector``: closed classes and the commonest ordinary words of all texts.
+
+    It travels with the detector, so its size is bounded by ``at_most``, about half a megabyte; only words that also stand
+    capitalised somewhere matter to the detector, and only they are taken.
+    """
+    held = _counted(texts, minimum, text).where("n > low").orderBy(F.desc("low"), "word").limit(at_most)
+    return FUNCTION_WORDS | {r["word"] for r in held.select("word").collect()}
+
+
+def word_list(path: str) -> frozenset[str]:
+    """A list of the caller's own for ``dictionary_detector``: one word a line, in any case; blank lines don't count."""
+    with open(path, encoding="utf-8") as f:
+        return frozenset(w.strip().lower() for w in f if w.strip())

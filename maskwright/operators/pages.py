@@ -18,14 +18,17 @@ WORD = "struct<text:string,x:int,y:int,w:int,h:int>"
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
 
 
+#: A capital or digit at a boundary, a blank or line feed, and the same character again before a letter, digit or the end.
+DOUBLED = r"(?<![^ \t\n\r\f])(?:([A-Z0-9]) (?=\1(?:[A-Za-z0-9]|\z))|([A-Z0-9])(?=\n\2(?:[A-Za-z0-9]|\z)))"
+
+
 def clean_extracted_text(text: Column) -> Column:
     """Text without the doubled first letters that some documents yield: "V Vanguard" is "Vanguard".
 
     A capital or digit at a boundary, a blank or line feed, and the same character again before a letter, digit or the
     end. One pass from left to right; other characters, non-ASCII ones too, stay as they are.
     """
-    pattern = r"(?<![^ \t\n\r\f])(?:([A-Z0-9]) (?=\1(?:[A-Za-z0-9]|\z))|([A-Z0-9])(?=\n\2(?:[A-Za-z0-9]|\z)))"
-    return F.regexp_replace(text, pattern, "")
+    return F.regexp_replace(text, DOUBLED, "")
 
 
 def join_pages(pages: Column) -> Column:

@@ -36,7 +36,8 @@ def merge_spans(detections: Column) -> Column:
 
 def _positions(low: Column, name: Column) -> Column:
     """Start of every occurrence of ``name`` in ``low``, overlapping ones included."""
-    pieces = F.split(F.concat(F.lit("\u0001"), low), F.concat(F.lit("(?=\\Q"), name, F.lit("\\E)")), -1)
+    literal = F.regexp_replace(name, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
+    pieces = F.split(F.concat(F.lit("\u0001"), low), F.concat(F.lit("(?="), literal, F.lit(")")), -1)
     walk = lambda at, out, p: F.struct((at + F.length(p)).cast("int").alias("state"), F.concat(out, F.array((at + F.length(p)).cast("int"))).alias("out"))
     return let(pieces, lambda p: folded(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.lit(-1), "int", walk)["out"])
 

@@ -40,6 +40,23 @@ def write_texts(covered: DataFrame) -> DataFrame:
     return covered.where("output_text IS NOT NULL").select("output_path", "output_text").mapInPandas(_write, "output_path string, status string, error string")
 
 
+def write_contents(covered: DataFrame) -> DataFrame:
+    """Writes ``covered(output_path, content)`` as it is; lazily gives (output_path, status, error)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["output_path"], pdf["content"]):
+                try:
+                    _put(path, bytes(content))
+                    rows.append((path, "success", None))
+                except Exception as e:  # per-file isolation
+                    rows.append((path, "error", f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["output_path", "status", "error"])
+
+    return covered.where("content IS NOT NULL").select("output_path", "content").mapInPandas(run, "output_path string, status string, error string")
+
+
 def write_workbooks(cells: DataFrame) -> DataFrame:
     """Writes workbooks out of ``cells(output_path, sheet, row, col, value)``, each file in one group; formats are lost."""
 

@@ -51,14 +51,25 @@ def write_pdf(text: str) -> bytes:
     return _file(objects)
 
 
-def images_pdf(images: list[np.ndarray]) -> bytes:
-    """Grey page images (height x width, uint8), one a page, filling US letter pages."""
-    kids = b" ".join(b"%d 0 R" % (3 + 3 * i) for i in range(len(images)))
-    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] /Count %d >>" % (kids, len(images))]
+def images_pdf(images: list[np.ndarray], covers: list[list[tuple[int, int, int, int, str]]] | None = None) -> bytes:
+    """Grey page images (height x width, uint8), one a page, filling US letter pages.
+
+    ``covers`` are for each page boxes (x, y, w, h, text) in pixels of its image; the text is set into the box. More than
+    ``MAX_PAGES`` pages raise.
+    """
+    if len(images) > MAX_PAGES:
+        raise ValueError(f"more than {MAX_PAGES} pages")
+    kids = b" ".join(b"%d 0 R" % (4 + 3 * i) for i in range(len(images)))
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] /Count %d >>" % (kids, len(images)), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
     for i, image in enumerate(images):
         h, w = image.shape
-        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %d %d] /Resources << /XObject << /I %d 0 R >> >> /Contents %d 0 R >>" % (*IMAGE_PAGE, 5 + 3 * i, 4 + 3 * i))
-        objects.append(_stream(b"q %d 0 0 %d 0 0 cm /I Do Q" % IMAGE_PAGE))
+        sx, sy = IMAGE_PAGE[0] / max(w, 1), IMAGE_PAGE[1] / max(h, 1)
+        words = b""
+        for x, y, bw, bh, text in covers[i] if covers else ():
+            shown = re.sub(rb"([\\()])", rb"\\\1", text.encode("latin-1", "replace"))
+            words += b"BT /F1 %.2f Tf %.2f %.2f Td (%s) Tj ET\n" % (text_size(bh, bw, len(text)) * sy, x * sx, IMAGE_PAGE[1] - (y + 0.8 * bh) * sy, shown)
+        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %d %d] /Resources << /Font << /F1 3 0 R >> /XObject << /I %d 0 R >> >> /Contents %d 0 R >>" % (*IMAGE_PAGE, 6 + 3 * i, 5 + 3 * i))
+        objects.append(_stream(b"q %d 0 0 %d 0 0 cm /I Do Q\n" % IMAGE_PAGE + words))
         objects.append(_stream(image.astype(np.uint8).tobytes(), b"/Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace /DeviceGray /BitsPerComponent 8 " % (w, h)))
     return _file(objects)
 

@@ -18,11 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.operators.pages import DOUBLED, PAGE_BREAK
+
 #: Extensions of files that are collected, and of those that aren't plain text by type.
 SUPPORTED = "txt md csv pdf xlsx xls png jpg jpeg tiff tif".split()
 FILE_TYPES = {"Pdf": ["pdf"], "Xlsx": ["xlsx", "xls"], "Image": "png jpg jpeg tiff tif bmp".split()}
 #: Files of the storage folder that an archive may hold.
 ARCHIVED = ("config.json", "mappings.json", "custom-rules.json")
+IGNORE_LIST = "ignore-list.json"
 
 TEXT_ROWS = "path string, doc_type string, text string, error string"
 CELL_ROWS = "path string, sheet string, row int, col int, value string, error string"
@@ -46,9 +49,10 @@ def file_type(path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """Files under ``path`` as (path, modificationTime, length, content), ordered; a single file is taken whatever its type.
+    """Files under ``path`` as (path, modificationTime, length, content); a single file is taken whatever its type.
 
-    A missing path raises. The content is only read by queries that use it.
+    A missing path raises. The content is only read by queries that use it. The rows aren't sorted, as that would move
+    the content of all files: whoever needs an order sorts paths, see ``listed_paths``.
     """
     local = path.removeprefix("file://")
     if "://" not in path and not os.path.exists(local):
@@ -56,7 +60,28 @@ def list_files(spark: SparkSession, path: str, recursive: bool = False) -> DataF
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     if "://" not in path and os.path.isfile(local):
         return files
-    return files.where(is_supported(F.col("path"))).orderBy("path")
+    return files.where(is_supported(F.col("path")))
+
+
+def listed_paths(files: DataFrame) -> DataFrame:
+    """(path, length), in order of path; the content isn't read."""
+    return files.select("path", "length").orderBy("path")
+
+
+#: Folders of the system that are no input, by the beginning of their path.
+BLOCKED = ("/etc", "/usr", "/System", "/Library", "/bin", "/sbin", "/dev", "/proc", "/sys", "/boot")
+
+
+def validate_path(path: str) -> str:
+    """The path, if it is a supported file or a folder outside the system's folders; raises what is wrong with it."""
+    real = os.path.realpath(path)
+    if any(real == b or real.startswith(f"{b}/") for b in BLOCKED):
+        raise PermissionError(f"{path} lies in a folder of the system")
+    if not os.path.exists(real):
+        raise FileNotFoundError(path)
+    if os.path.isfile(real) and os.path.splitext(real)[1].lower().removeprefix(".") not in SUPPORTED:
+        raise ValueError(f"{path} has no supported type")
+    return path
 
 
 # ---- spreadsheets -------------------------------------------------------------------------------------------------
@@ -176,15 +201,27 @@ def _image_text(content: bytes, language: str) -> str:
     return done.stdout.decode("utf-8")
 
 
-def _pdf_text(content: bytes) -> str:
-    """The text layer; a PDF library is used where one is installed."""
+#: Lines of single letters that begin the next word, as some documents yield them, in Python's dialect.
+_DOUBLED = re.compile(DOUBLED.replace(r"\z", r"\Z"))
+
+
+def _pdf_text(content: bytes, language: str) -> str:
+    """Text of the rendered and read pages where that can be done and yields any, else the text layer; then cleaned up."""
+    from maskwright.sinks import redaction
+
+    if redaction.can_render() and available("tesseract"):
+        pages = [" ".join(w[0] for w in redaction.tesseract_words(image, language)) for image in redaction.render_pages(content)]
+        if any(p.strip() for p in pages):
+            return _DOUBLED.sub("", PAGE_BREAK.join(p.strip() for p in pages))
     try:
         import pypdf
     except ImportError:
         from maskwright.sinks.pdf import pdf_text
 
-        return pdf_text(content)
-    return "\n".join(page.extract_text() for page in pypdf.PdfReader(io.BytesIO(content)).pages)
+        text = pdf_text(content)
+    else:
+        text = "\n".join(page.extract_text() for page in pypdf.PdfReader(io.BytesIO(content)).pages)
+    return _DOUBLED.sub("", text)
 
 
 def capabilities() -> dict[str, bool]:
@@ -201,7 +238,7 @@ def extract_text(content: bytes, kind: str, language: str = "eng") -> str:
     if kind == "Image":
         return _image_text(content, language)
     if kind == "Pdf":
-        return _pdf_text(content)
+        return _pdf_text(content, language)
     return content.decode("utf-8")
 
 
@@ -231,13 +268,26 @@ def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def write_store(rows: DataFrame, path: str) -> None:
-    """A store as one JSON array; for stores a person edits, which fit one file. Larger ones are written as tables."""
-    records = [json.loads(r) for r in rows.toJSON().toLocalIterator()]
-    scratch = f"{path}.new"
-    with open(scratch, "w", encoding="utf-8") as f:
-        json.dump(records, f, indent=2, ensure_ascii=False)
-    os.replace(scratch, path)
+def write_store(rows: DataFrame, path: str) -> int:
+    """A store as one JSON array, written by one task as its rows stream by; gives their number.
+
+    For stores that a person edits, which are one file by their nature. Larger ones are written as tables.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scratch, n = f"{path}.new", 0
+        with open(scratch, "w", encoding="utf-8") as f:
+            f.write("[")
+            for pdf in batches:
+                for record in pdf["record"]:
+                    f.write(("," if n else "") + "\n  " + record)
+                    n += 1
+            f.write("\n]\n" if n else "]\n")
+        os.replace(scratch, path)
+        yield pd.DataFrame({"n": [n]})
+
+    records = rows.select(F.to_json(F.struct(*rows.columns)).alias("record"))
+    return records.repartition(1).mapInPandas(run, "n bigint").first()[0]
 
 
 @dataclass
@@ -290,3 +340,14 @@ def import_archive(archive: str, folder: str) -> list[str]:
             with open(os.path.join(folder, n), "wb") as f:
                 f.write(z.read(n))
     return names
+
+
+def log_bundle(folder: str, archive: str) -> list[str]:
+    """Zips the logs of a storage folder with a list of all its files and their sizes; returns the names in the archive."""
+    sizes = {os.path.relpath(os.path.join(at, n), folder): os.path.getsize(os.path.join(at, n)) for at, _, names in os.walk(folder) for n in names}
+    logs = sorted(n for n in sizes if n.endswith(".log") or n.startswith(f"logs{os.sep}"))
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for n in logs:
+            z.write(os.path.join(folder, n), n)
+        z.writestr("files.json", json.dumps({"files": sizes, "capabilities": capabilities()}, indent=2, sort_keys=True))
+    return [*logs, "files.json"]

@@ -32,8 +32,8 @@ def folder(tmp_path):
 
 def test_listing(spark, folder):
     names = lambda df: [os.path.basename(r["path"]) for r in df.select("path").collect()]
-    assert names(files.list_files(spark, str(folder))) == ["a.txt", "b.md", "c.XLSX", "d.xlsx", "f.pdf"]
-    assert names(files.list_files(spark, str(folder), True))[-1] == "g.csv"
+    assert names(files.listed_paths(files.list_files(spark, str(folder)))) == ["a.txt", "b.md", "c.XLSX", "d.xlsx", "f.pdf"]
+    assert names(files.listed_paths(files.list_files(spark, str(folder), True)))[-1] == "g.csv"
     assert names(files.list_files(spark, str(folder / "e.bmp"))) == ["e.bmp"]
     with pytest.raises(FileNotFoundError):
         files.list_files(spark, str(folder / "none"))
