@@ -86,21 +86,26 @@ def match_spans(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(java), found).when(text.isNotNull(), F.array().cast(SPANS))
 
 
-def _edge(side: Column, take: Callable[[Column, Column], Column]) -> Column:
-    """Fewest characters of ``side``, next to the match, that make at least ``CONTEXT_BYTES`` bytes; all if it has fewer."""
-    near = take(side, F.lit(CONTEXT_BYTES))
+def _edge(near: Column, take: Callable[[Column, Column], Column]) -> Column:
+    """Fewest characters of ``near``, next to the match, that make at least ``CONTEXT_BYTES`` bytes; all if it has fewer."""
     counted = F.filter(F.sequence(F.lit(1), F.lit(CONTEXT_BYTES)), lambda k: F.octet_length(take(near, k)) >= CONTEXT_BYTES)
     return F.when(F.octet_length(near) == F.length(near), near).otherwise(F.coalesce(take(near, F.try_element_at(counted, F.lit(1))), near))
 
 
 def context_of(text: Column, start: Column, end: Column) -> Column:
     """The match with 40 bytes on either side, widened outward to whole characters; ``...`` where text is cut off."""
-    before, after = F.substring(text, F.lit(1), start), F.substring(text, end + 1, F.length(text))
-    head, tail = _edge(before, F.right), _edge(after, F.left)
-    middle = F.substring(text, start + 1, end - start)
-    cut_head = F.when(F.length(head) < F.length(before), F.lit("...")).otherwise(F.lit(""))
-    cut_tail = F.when(F.length(tail) < F.length(after), F.lit("...")).otherwise(F.lit(""))
-    return F.concat(cut_head, head, middle, tail, cut_tail)
+    first = F.greatest(start - CONTEXT_BYTES, F.lit(0))
+    near = F.substring(text, first + 1, end - first + CONTEXT_BYTES)  # the one place where the whole text is walked
+    length = F.length(text)
+
+    def framed(part: Column) -> Column:
+        head, tail = _edge(F.left(part, start - first), F.right), _edge(F.substring(part, end - first + 1, F.lit(CONTEXT_BYTES)), F.left)
+        middle = F.substring(part, start - first + 1, end - start)
+        cut_head = F.when(F.length(head) < start, F.lit("...")).otherwise(F.lit(""))
+        cut_tail = F.when(F.length(tail) < length - end, F.lit("...")).otherwise(F.lit(""))
+        return F.concat(cut_head, head, middle, tail, cut_tail)
+
+    return let(near, framed)
 
 
 def byte_offset(text: Column, at: Column) -> Column:
@@ -108,6 +113,37 @@ def byte_offset(text: Column, at: Column) -> Column:
     return F.octet_length(F.substring(text, F.lit(1), at))
 
 
+def in_parts(text: Column, spans: Column, of: Callable[[Column, Column, Column], Column]) -> Column:
+    """``of(part, base, group)`` for the spans in groups of ``BLOCK``, as an array: disjoint spans in order of place.
+
+    ``part`` is the text from ``base``, the end of the group before, to the end of the group. To find a place in a text
+    costs its length; so the text is walked once for each group, and for each span only the group's part.
+    """
+
+    def group(i: Column) -> Column:
+        mine = F.slice(spans, i, BLOCK)
+        base = F.when(i > 1, F.try_element_at(spans, F.when(i > 1, i - 1).otherwise(1))["end"]).otherwise(F.lit(0))
+        return let(F.struct(base.cast("int").alias("base"), mine.alias("mine"), F.substring(text, base + 1, F.element_at(mine, -1)["end"] - base).alias("part")), lambda g: of(g["part"], g["base"], g["mine"]))
+
+    return F.transform(F.sequence(F.lit(1), F.size(spans), F.lit(BLOCK)), group)
+
+
+def with_bytes(text: Column, spans: Column) -> Column:
+    """Disjoint spans in order, each with ``start_byte`` and ``end_byte``."""
+
+    def placed(part: Column, base: Column, mine: Column) -> Column:
+        def one(at: Column) -> Column:
+            def full(d: Column) -> Column:
+                begin = at + F.octet_length(F.left(part, d["start"] - base))
+                return d.withField("start_byte", begin.cast("int")).withField("end_byte", (begin + F.octet_length(d["matched_text"])).cast("int"))
+
+            return F.transform(mine, full)
+
+        return let(byte_offset(text, base), one)
+
+    return F.when(F.size(spans) > 0, F.flatten(in_parts(text, spans, placed)))
+
+
 def utf16_offset(text: Column, at: Column) -> Column:
     """UTF-16 code units before the code-point offset ``at``."""
     return (F.octet_length(F.encode(F.substring(text, F.lit(1), at), "UTF-16BE")) / 2).cast("int")

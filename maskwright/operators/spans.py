@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maskwright.functions.text import folded, let
+from maskwright.functions.text import folded, in_parts, let
 from maskwright.operators.rules import DETECTION, DETECTIONS
 
 #: Order of detections found by propagation, after all detectors.
@@ -70,9 +70,13 @@ def propagate_persons(text: Column, merged: Column) -> Column:
 def apply_replacements(text: Column, resolved: Column) -> Column:
     """``text`` with the accepted spans replaced; ``resolved`` are disjoint structs with start, end, replacement, accepted.
 
-    Pieces are collected from left to right in one fold. Spans that aren't accepted, and texts without any, stay.
+    Pieces are cut from left to right, in parts of the text. Spans that aren't accepted, and texts without any, stay.
     """
     spans = F.array_sort(F.transform(F.filter(resolved, lambda d: d["accepted"]), lambda d: F.struct(d["start"], d["end"], d["replacement"])))
-    step = lambda at, out, d: F.struct(d["end"].cast("int").alias("state"), F.concat(out, F.array(F.concat(F.substring(text, at + 1, d["start"] - at), d["replacement"]))).alias("out"))
-    whole = lambda r: F.concat(F.array_join(r["out"], ""), F.substring(text, r["state"] + 1, F.length(text)))
-    return let(spans, lambda s: F.when(F.size(s) > 0, let(folded(s, F.lit(0), "string", step), whole)).otherwise(text))
+    step = lambda at, out, d, part, base: F.struct(d["end"].cast("int").alias("at"), F.concat(out, F.substring(part, at - base + 1, d["start"] - at), d["replacement"]).alias("out"))
+
+    def rewritten(part: Column, base: Column, mine: Column) -> Column:
+        return F.aggregate(mine, F.struct(base.alias("at"), F.lit("").alias("out")), lambda acc, d: step(acc["at"], acc["out"], d, part, base), lambda acc: acc["out"])
+
+    whole = lambda s: F.concat(F.array_join(in_parts(text, s, rewritten), ""), F.substring(text, F.element_at(s, -1)["end"] + 1, F.length(text)))
+    return let(spans, lambda s: F.when(F.size(s) > 0, whole(s)).otherwise(text))

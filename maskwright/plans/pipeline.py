@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions.text import byte_offset, let
+from maskwright.functions.covers import cover_value
+from maskwright.functions.filters import passes, value_filter
+from maskwright.functions.text import let, with_bytes
 from maskwright.operators.names import dictionary_detector
-from maskwright.operators.resolve import drop_ignored, resolve, resolve_inline
+from maskwright.operators.resolve import resolve_inline
 from maskwright.operators.rules import DETECTIONS, BUILT_IN, Rule, scan_rules, with_context
 from maskwright.operators.spans import apply_replacements, merge_spans, propagate_persons
-from maskwright.runtime import cut, exploded
+from maskwright.runtime import cut, exploded, written
 
 Detector = Callable[[Column], Column]
 
@@ -38,9 +40,9 @@ def detect(documents: DataFrame, text: str = "text", rules: tuple[Rule, ...] = B
 def detection_rows(detected: DataFrame, key: list[str], text: str = "text", context: bool = True) -> DataFrame:
     """One row per detection: key, offsets in code points and bytes, matched text, type, rule and context."""
     item = (lambda d: with_context(d, F.col(text))) if context else (lambda d: d)
-    rows = exploded(detected, [*key, text], F.transform("detections", item))
-    cols = ["matched_text", "entity_type", "rule_name", "start", "end", *(["context"] if context else [])]
-    return rows.select(*key, *(F.col(f"d.{c}").alias(c) for c in cols), byte_offset(F.col(text), F.col("d.start")).alias("start_byte"), byte_offset(F.col(text), F.col("d.end")).alias("end_byte"))
+    rows = exploded(detected, key, F.transform(with_bytes(F.col(text), F.col("detections")), item))
+    cols = ["matched_text", "entity_type", "rule_name", "start", "end", *(["context"] if context else []), "start_byte", "end_byte"]
+    return rows.select(*key, *(F.col(f"d.{c}").alias(c) for c in cols))
 
 
 def anonymise(documents: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BUILT_IN, detectors: list[Detector] | None = None) -> DataFrame:
@@ -50,14 +52,28 @@ def anonymise(documents: DataFrame, text: str = "text", rules: tuple[Rule, ...]
 
 
 def anonymise_with_stores(documents: DataFrame, key: str, mappings: DataFrame, ignored: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BUILT_IN, detectors: list[Detector] | None = None) -> DataFrame:
-    """(key, text, output_text, accepted): covers from the mapping table first, ignored texts left alone.
+    """(key, text, output_text, accepted): covers from ``mappings(original, stored)`` first, ignored texts left alone.
 
-    The documents meet their resolved spans again by key; texts without spans take no part in the shuffle of spans.
+    Detections are kept with their texts in a table. The distinct values that occur meet the stores; documents with a
+    value that is stored or ignored, which a filter of fixed size tells, are shuffled to meet it. All others are rewritten
+    where they lie.
     """
-    found = detect(documents, text, rules, detectors)
-    rows = cut(exploded(found, [key], F.col("detections")).select(key, "d.*"))  # read by both sides of the cover join
-    resolved = resolve(drop_ignored(rows, ignored), mappings)
-    spans = resolved.groupBy(key).agg(F.collect_list(F.struct("start", "end", "replacement", F.lit(True).alias("accepted"))).alias("spans"))
-    joined = documents.select(key, text).join(spans, key, "left")
-    out = F.when(F.col("spans").isNull(), F.col(text)).otherwise(apply_replacements(F.col(text), F.col("spans")))
-    return joined.select(key, text, out.alias("output_text"), F.coalesce(F.size("spans"), F.lit(0)).alias("accepted"))
+    found = written(detect(documents, text, rules, detectors).select(key, text, "detections"))
+    own = exploded(found, [key], F.col("detections.matched_text"), "matched_text").distinct()
+    values = own.select("matched_text").distinct()
+    listed = ignored.where("text IS NOT NULL").select(F.lower("text").alias("low"), F.lit(True).alias("listed")).distinct()
+    known = values.join(mappings.toDF("matched_text", "stored"), "matched_text", "left").join(listed, F.lower("matched_text") == F.col("low"), "left").where("stored IS NOT NULL OR listed")
+    said = cut(own.join(known, "matched_text").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("matched_text", F.struct("stored", "listed")))).alias("said")))
+    row = F.xxhash64(key)
+    concerned = passes(value_filter(said.select(row.alias("h")), "h"), row)
+    near = found.where(concerned).join(said, key, "left")
+    far = found.where(~concerned).withColumn("said", F.lit(None).cast(said.schema["said"].dataType))
+    every = near.select(far.columns).unionByName(far)
+
+    def covered(d: Column) -> Column:
+        own = F.try_element_at("said", d["matched_text"])
+        cover = F.coalesce(own["stored"], cover_value(d["matched_text"], d["entity_type"]))
+        return F.struct(d["start"], d["end"], cover.alias("replacement"), own["listed"].isNull().alias("accepted"))
+
+    spans = F.filter(F.transform("detections", covered), lambda d: d["accepted"])
+    return every.select(key, text, spans.alias("spans")).select(key, text, apply_replacements(F.col(text), F.col("spans")).alias("output_text"), F.coalesce(F.size("spans"), F.lit(0)).alias("accepted"))

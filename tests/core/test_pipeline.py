@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from maskwright.plans.pipeline import anonymise, anonymise_with_stores, detect, detection_rows
-from maskwright.streaming.inbox import anonymise_stream, keep_mappings, read_inbox
+from maskwright.streaming.inbox import anonymise_stream, keep_mappings, read_inbox, read_mappings
 
 SAMPLE = """To the records office of the harbour clinic.
 
@@ -90,4 +90,28 @@ def test_stream_of_mappings(spark, tmp_path):
     q = keep_mappings(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
-    assert sorted((r["original"], r["replacement"]) for r in spark.read.parquet(str(tmp_path / "store" / "v1")).collect()) == [("a", "y"), ("b", "z")]
+    assert sorted((r["original"], r["replacement"]) for r in read_mappings(spark, str(tmp_path / "store")).collect()) == [("a", "y"), ("b", "z")]
+
+
+def test_stream_writes_touched_parts_only(spark, tmp_path):
+    schema = "original string, replacement string, entity_type string, ord bigint"
+    rows = [[(f"k{i}", "one", "T", i) for i in range(300)], [("k7", "two", "T", 1), ("new", "x", "T", 2)], [("k7", "three", "T", 1)]]
+    for n, batch in enumerate(rows):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = keep_mappings(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    held = {r["original"]: r["replacement"] for r in read_mappings(spark, str(tmp_path / "store")).collect()}
+    assert len(held) == 301 and held["k7"] == "three" and held["new"] == "x" and held["k8"] == "one"
+    versions = [p.name for p in (tmp_path / "store").glob("bucket=*/v=*")]
+    assert versions.count("v=2") <= 2 and versions.count("v=3") == 1
+
+
+def test_many_spans_in_one_text(spark):
+    """Spans over several groups, with characters of two to four bytes between them."""
+    text = " ".join(f"é{'😀' if i % 3 else 'x'} a{i}@x.example," for i in range(300))
+    d = documents(spark, text)
+    rows = detection_rows(detect(d, detectors=[]), ["doc_id"]).collect()
+    raw = text.encode()
+    assert len(rows) == 300 and all(raw[r["start_byte"] : r["end_byte"]].decode() == r["matched_text"] == text[r["start"] : r["end"]] for r in rows)
+    out = anonymise(d, detectors=[]).first()["output_text"]
+    assert out.count("@example.com,") == 300 and [w for w in out.split() if "@" not in w] == [w for w in text.split() if "@" not in w]
