@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.blocks import FILTER_BITS, may_hold, text_hash, value_filter
+from maskwright.functions.filters import FILTER_BITS, may_hold, value_filter
+from maskwright.llm.blocks import text_hash
 from maskwright.runtime import written
 
 #: Words of a window. Twenty running words with at most one in eight altered always hold six unaltered ones in a row.

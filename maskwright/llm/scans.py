@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.blocks import may_hold_one, text_hash, value_filter
+from maskwright.functions.filters import may_hold_one, value_filter
+from maskwright.llm.blocks import text_hash
 from maskwright.llm.names import lcs_ratio
 from maskwright.runtime import cut, written
 

@@ -2,7 +2,8 @@ import math
 
 import pytest
 
-from maskwright.llm.blocks import may_hold, may_hold_one, text_hash, value_filter
+from maskwright.functions.filters import may_hold, may_hold_one, value_filter
+from maskwright.llm.blocks import text_hash
 from maskwright.llm.scans import as_cased, body_tokens, channel, difference, first_guess, fold, form_keys, layout, page_lines, rebuilt, repaired_texts, scan_repairs
 
 CLEAN = "Their western clerk declined the final invoice because another full-time tariff was accepted during the evening. " * 30
