@@ -17,9 +17,9 @@ def value_filter(hashes: DataFrame, column: str, bits: int = FILTER_BITS) -> np.
     """Bloom filter over a column of 64-bit hashes: 2^bits bits in 64-bit words, the only thing that comes to the driver."""
     places = F.explode(F.array(*(F.shiftrightunsigned(column, s).bitwiseAND(F.lit((1 << bits) - 1)) for s in _SHIFTS))).alias("p")
     one = F.expr("shiftleft(1L, CAST(p % 64 AS INT))")
-    words = hashes.select(places).groupBy(F.expr("CAST(p DIV 64 AS INT)").alias("at")).agg(F.bit_or(one).alias("word")).toPandas()
+    words = hashes.select(places).groupBy(F.expr("CAST(p DIV 64 AS INT)").alias("at")).agg(F.bit_or(one).alias("word")).toArrow()
     out = np.zeros((1 << bits) // 64, np.int64)
-    out[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64)
+    out[words["at"].to_numpy()] = words["word"].to_numpy()
     return out.view(np.uint64)
 
 

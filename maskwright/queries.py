@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions import covers
-from maskwright.functions.text import byte_offset, can_be_empty, context_of, let, match_spans, utf16_offset
+from maskwright.functions.text import byte_offset, context_of, let, match_spans, utf16_offset
 from maskwright.operators import names, pages, resolve, rules, spans, tables
 from maskwright.plans import pipeline
 from maskwright.runtime import exploded, spread, table
@@ -30,9 +30,23 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(a.unionByName(b))
 
 
+def labelled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a line of a form, for rules of which the texts have no case: dates of birth and routing numbers."""
+    born = F.date_format("o_orderdate", "MM/dd/yyyy")
+    line = F.concat(F.lit("Customer "), F.col("o_custkey").cast("string"), F.lit(", D.O.B. "), born, F.lit("; routing #"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.lit(" or birthday "), born)
+    return table(spark, sf_dir, "orders").select(F.lit("order").alias("src"), F.col("o_orderkey").alias("id"), line.alias("text"))
+
+
+#: Rules that no text of the corpus has a case of.
+ON_ORDERS = ("Date of Birth", "Routing Number")
+
+
 def _rule(rule: rules.Rule) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = exploded(corpus(spark, sf_dir), KEY, rules.rule_spans(F.col("text"), rule))
+        texts = corpus(spark, sf_dir)
+        if rule.name in ON_ORDERS:
+            texts = texts.unionByName(labelled_orders(spark, sf_dir))
+        found = exploded(texts, KEY, rules.rule_spans(F.col("text"), rule))
         return found.select(*KEY, "d.start", "d.end", "d.matched_text")
 
     return run
@@ -56,9 +70,9 @@ def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def custom_rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules of the rule table that are enabled and have a pattern that can't match nothing, over all texts."""
+    """The rules of the rule table that are enabled and have a pattern, over all texts; empty matches are no detections."""
     held = table(spark, sf_dir, "rules").where("enabled AND pattern IS NOT NULL").orderBy("name").collect()
-    own = [rules.Rule(r["name"], "CUSTOM", r["pattern"]) for r in held if not can_be_empty(r["pattern"])]
+    own = [rules.Rule(r["name"], "CUSTOM", r["pattern"]) for r in held]
     found = exploded(corpus(spark, sf_dir), KEY, F.concat(*(rules.rule_spans(F.col("text"), r, i) for i, r in enumerate(own))))
     return found.select(*KEY, "d.rule_name", "d.start", "d.end", "d.matched_text")
 
@@ -179,37 +193,46 @@ def common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.common_words_of(table(spark, sf_dir, "documents"))
 
 
+def _detectors(texts: DataFrame) -> list[pipeline.Detector]:
+    """The name detector with the ordinary words of the texts themselves."""
+    return [names.dictionary_detector(names.fitted_words(texts))]
+
+
 def names_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exploded(corpus(spark, sf_dir), KEY, names.dictionary_detector()(F.col("text")))
+    texts = corpus(spark, sf_dir)
+    found = exploded(texts, KEY, _detectors(texts)[0](F.col("text")))
     return found.select(*KEY, "d.start", "d.end", "d.entity_type", "d.matched_text")
 
 
 def detect_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.detection_rows(pipeline.detect(corpus(spark, sf_dir)), KEY)
+    texts = corpus(spark, sf_dir)
+    return pipeline.detection_rows(pipeline.detect(texts, detectors=_detectors(texts)), KEY)
 
 
 def person_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.detection_rows(pipeline.detect(corpus(spark, sf_dir)), KEY, context=False).where("rule_name = 'Global match'")
+    texts = corpus(spark, sf_dir)
+    return pipeline.detection_rows(pipeline.detect(texts, detectors=_detectors(texts)), KEY, context=False).where("rule_name = 'Global match'")
 
 
 def anonymise_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.anonymise(corpus(spark, sf_dir)).select(*KEY, F.size("detections").alias("detections"), "output_text")
+    texts = corpus(spark, sf_dir)
+    return pipeline.anonymise(texts, detectors=_detectors(texts)).select(*KEY, F.size("detections").alias("detections"), "output_text")
 
 
 def anonymise_with_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     stored = resolve.current_mappings(table(spark, sf_dir, "mappings"))
-    return pipeline.anonymise_with_stores(docs, "doc_id", stored, table(spark, sf_dir, "ignored_entities")).select("doc_id", "accepted", "output_text")
+    return pipeline.anonymise_with_stores(docs, "doc_id", stored, table(spark, sf_dir, "ignored_entities"), detectors=_detectors(corpus(spark, sf_dir))).select("doc_id", "accepted", "output_text")
 
 
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pipeline.detect(table(spark, sf_dir, "scan_results").select("scan_id", "path", "text"))
+    found = pipeline.detect(table(spark, sf_dir, "scan_results").select("scan_id", "path", "text"), detectors=_detectors(corpus(spark, sf_dir)))
     with_context = F.transform("detections", lambda d: rules.with_context(d, F.col("text")))
     return found.select("scan_id", tables.report_json(F.col("path"), with_context).alias("report"))
 
 
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "scan_results").select("error", F.coalesce(F.size(match_spans(F.col("text"), _by_name("Email").pattern)), F.lit(0)).alias("accepted"))
+    f = table(spark, sf_dir, "scan_results").select("error", F.coalesce(F.size(spans.merge_spans(rules.scan_rules(F.col("text")))), F.lit(0)).alias("accepted"))
     return tables.batch_summary(f)
 
 
@@ -343,8 +366,12 @@ def _garbage_sql(value: str) -> str:
     return f"(regexp_matches({value}, '[^\\x00-\\x7F]') OR 2 * length(regexp_replace({value}, '[-A-Za-z0-9 ,.#]', '', 'g')) > length({value}))"
 
 
-def _rule_sql(rule: rules.Rule) -> str:
-    inner = _spans_sql(_q(rule.pattern))
+_ORDERS = """orders_ AS (SELECT o_orderkey AS id, 'Customer ' || o_custkey::VARCHAR || ', D.O.B. ' || strftime(o_orderdate, '%m/%d/%Y') || '; routing #' || lpad(o_orderkey::VARCHAR, 9, '0') || ' or birthday ' || strftime(o_orderdate, '%m/%d/%Y') AS text FROM orders),
+more AS (SELECT * FROM corpus UNION ALL SELECT 'order', id, text FROM orders_)"""
+
+
+def _rule_sql(rule: rules.Rule, source: str = "corpus") -> str:
+    inner = _spans_sql(_q(rule.pattern), source)
     keep = {"PHONE": f"WHERE NOT {_toll_free_sql('matched_text')}", "ADDRESS": f"WHERE NOT {_garbage_sql('matched_text')}"}.get(rule.entity_type, "")
     return f'SELECT src, id, "start", "end", matched_text FROM ({inner}) {keep}'
 
@@ -382,16 +409,88 @@ def _cover_sqls() -> dict[str, str]:
     }
 
 
+_SPACE = r"[^\s\p{Z}\x{85}\x0B]+"
+
+
+def _names_sql() -> str:
+    """CTEs up to ``named(src, id, start, end, matched_text, entity_type, rule_name, ord)``: words as letters, shapes by folding."""
+    listed = lambda words: "(" + ", ".join(map(_q, sorted(words))) + ")"
+    lines = """lines_ AS (SELECT src, id, line, text, (sum(length(text) + 1) OVER (PARTITION BY src, id ORDER BY line) - length(text) - 1)::INT AS base
+  FROM (SELECT src, id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM corpus WHERE text IS NOT NULL))"""
+    return rf"""fitted AS (SELECT word FROM (SELECT lower(w) AS word, count(*) FILTER (WHERE w = lower(w)) AS low, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\p{{L}}+')) AS w FROM corpus) GROUP BY 1) WHERE low >= 3 AND 2 * low > n AND n > low ORDER BY low DESC, word LIMIT {names.MAX_FITTED}),
+{lines},
+raw_ AS ({_spans_sql(_q(_SPACE), "lines_", "src, id, line, base")}),
+word_ AS (SELECT src, id, line, base, text, "start" AS s, regexp_replace(matched_text, '[[:punct:]]+$', '') AS w, coalesce(regexp_matches(lag(matched_text) OVER (PARTITION BY src, id, line ORDER BY "start"), '[.!?]$'), true) AS fresh FROM raw_),
+flag_ AS (SELECT *, lower(w) IN {listed(names.FUNCTION_WORDS)} OR lower(w) IN (SELECT word FROM fitted) AS known, lower(w) IN {listed(names.ORGANISATION_WORDS)} AS org, regexp_matches(w, '^\p{{Lu}}') AND strlen(w) > 1 AS big FROM word_ WHERE w <> ''),
+letter_ AS (SELECT src, id, line, any_value(base) AS base, any_value(text) AS text, list(s ORDER BY s) AS ss, list(s + length(w) ORDER BY s) AS ee, count(*) AS n,
+  string_agg(CASE WHEN big AND NOT known THEN CASE WHEN fresh THEN CASE WHEN org THEN 'O' ELSE 'C' END WHEN org THEN 'o' ELSE 'c' END ELSE '.' END, '' ORDER BY s) AS t,
+  string_agg(CASE WHEN regexp_matches(w, '^[A-Z]{{2,}}$') AND regexp_matches(w, '[AEIOU]') THEN CASE WHEN known THEN CASE WHEN org THEN 'g' ELSE 'f' END WHEN org THEN 'o' ELSE 'x' END ELSE '.' END, '' ORDER BY s) AS k,
+  string_agg(CASE WHEN regexp_matches(w, '^[0-9]+$') THEN 'd' WHEN big THEN 'C' ELSE '.' END, '' ORDER BY s) AS a FROM flag_ GROUP BY src, id, line),
+size_ AS (SELECT *, list_transform(range(1, n + 1), lambda i: CASE WHEN regexp_matches(t[i:i+2], '^c[cC][cC]') THEN 3 WHEN regexp_matches(t[i:i+2], '^c[cC]($|[^cCoO])') THEN 2 WHEN regexp_matches(k[i:i+2], '^[xf]xx') THEN 3 WHEN regexp_matches(k[i:i+2], '^[xf]x($|[^xo])') THEN 2 ELSE 0 END) AS m,
+  list_transform(range(1, n + 1), lambda i: CASE WHEN regexp_matches(a[i:i+1], '^dC') THEN 1 + length(regexp_extract(a[i+1:i+3], '^C+')) ELSE 0 END) AS d FROM letter_ WHERE n > 1),
+shape_ AS (SELECT *, list_reduce(list_transform(range(1, n + 1), lambda i: {{'i': i, 'x': 1::BIGINT, 'o': []::BIGINT[]}}), lambda p, q: CASE WHEN q.i < p.x OR m[q.i] = 0 THEN {{'i': q.i, 'x': p.x, 'o': p.o}} ELSE {{'i': q.i, 'x': q.i + m[q.i], 'o': list_append(p.o, q.i)}} END, {{'i': 0::BIGINT, 'x': 1::BIGINT, 'o': []::BIGINT[]}}).o AS ni, list_filter(range(1, n + 1), lambda i: d[i] > 0) AS ai FROM size_),
+place_ AS (SELECT src, id, line, base, text, 1 AS kind, i, ss[i] AS s, ee[i + m[i] - 1] AS e FROM (SELECT *, unnest(ni) AS i FROM shape_) UNION ALL SELECT src, id, line, base, text, 2, i, ss[i], ee[i + d[i] - 1] FROM (SELECT *, unnest(ai) AS i FROM shape_)),
+kept_ AS (SELECT *, text[s + 1:e] AS v FROM place_ WHERE NOT regexp_matches(text[s + 1:e], CASE WHEN kind = 1 THEN '[^\x00-\x7F]|[.&]|XXXX|xxxx' ELSE '[^\x00-\x7F]|&' END)),
+named AS (SELECT src, id, (base + s)::INT AS "start", (base + e)::INT AS "end", v AS matched_text, CASE kind WHEN 1 THEN 'PERSON' ELSE 'ADDRESS' END AS entity_type, {_q(names.RULE_NAME)} AS rule_name, {names.AFTER_RULES} + row_number() OVER (PARTITION BY src, id ORDER BY line, kind, i) AS ord FROM kept_)"""
+
+
+def _merge_sql(source: str) -> str:
+    return f"""SELECT src, id, u.s AS "start", u.e AS "end", u.m AS matched_text, u.t AS entity_type, u.r AS rule_name, u.o AS ord FROM (SELECT src, id, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: CASE WHEN x[1].s >= acc[-1].e THEN list_concat(acc, x) WHEN strlen(x[1].m) > strlen(acc[-1].m) THEN list_concat(acc[1:-2], x) ELSE acc END)) AS u
+  FROM (SELECT src, id, list({{'s': "start", 'e': "end", 'm': matched_text, 't': entity_type, 'r': rule_name, 'o': ord}} ORDER BY "start", "end" DESC, ord) AS l FROM {source} GROUP BY src, id))"""
+
+
+def _detected_sql() -> str:
+    """The whole detection as CTEs up to ``detected``, the first of them opening the WITH."""
+    every = _all_rules_sql().rstrip()
+    pair = "(SELECT src, id, text, CASE WHEN length(lower(text)) = length(text) THEN lower(text) ELSE text END AS low, length(lower(text)) = length(text) AS same FROM corpus WHERE text IS NOT NULL)"
+    return every + f""", {_names_sql()},
+both_ AS (SELECT src, id, "start", "end", matched_text, entity_type, rule_name, ord FROM found UNION ALL SELECT src, id, "start", "end", matched_text, entity_type, rule_name, ord FROM named),
+merged_ AS ({_merge_sql('both_')}),
+person_ AS (SELECT DISTINCT c.src, c.id, c.text, c.low, CASE WHEN c.same THEN lower(m.matched_text) ELSE m.matched_text END AS name FROM merged_ m JOIN {pair} c ON m.src = c.src AND m.id = c.id WHERE m.entity_type = 'PERSON' AND m.matched_text <> ''),
+cut_ AS (SELECT src, id, text, name, p, unnest(range(1, len(p))) AS k FROM (SELECT *, string_split(low, name) AS p FROM person_)),
+at_ AS (SELECT src, id, text, name, (list_sum(list_transform(p[1:k], lambda x: length(x))) + (k - 1) * length(name))::INT AS s FROM cut_),
+extra_ AS (SELECT src, id, s AS "start", (s + length(name))::INT AS "end", text[s + 1:s + length(name)] AS matched_text, 'PERSON' AS entity_type, 'Global match' AS rule_name, 1000 AS ord FROM at_ a WHERE NOT EXISTS (SELECT 1 FROM merged_ m WHERE m.src = a.src AND m.id = a.id AND m."start" <= a.s AND m."end" >= a.s + length(a.name))),
+all_ AS (SELECT * FROM merged_ UNION ALL SELECT * FROM extra_),
+detected AS ({_merge_sql('all_')})"""
+
+
+def _rewritten_sql(made: str, source: str, key: str) -> str:
+    """``out(key, n, output_text)`` of ``source(key, start, end, cover)``, as CTEs."""
+    return f"""piece AS (SELECT d.{key}, d."start", d."end", c.text[coalesce(lag(d."end") OVER w, 0) + 1:d."start"] || d.cover AS p FROM {source} d JOIN {made} c ON d.{key} = c.{key} WINDOW w AS (PARTITION BY d.{key} ORDER BY d."start")),
+out_ AS (SELECT {key}, string_agg(p, '' ORDER BY "start") AS p, max("end") AS e, count(*) AS n FROM piece GROUP BY {key}),
+out AS (SELECT c.{key}, coalesce(o.n, 0)::INT AS n, CASE WHEN o.n IS NULL THEN c.text ELSE o.p || c.text[o.e + 1:] END AS output_text FROM {made} c LEFT JOIN out_ o ON c.{key} = o.{key})"""
+
+
+def _page_sqls() -> dict[str, str]:
+    goes = "(({0} = 1 OR c[{0} - 1] IN (' ', chr(9), chr(10), chr(13), chr(12))) AND regexp_matches(c[{0}], '^[A-Z0-9]$') AND c[{0} + 2] = c[{0}] AND ({0} + 2 = len(c) OR regexp_matches(c[{0} + 3], '^[A-Za-z0-9]$')))"
+    here, before = goes.format("j"), goes.format("(j - 1)")
+    clean = f"""WITH t AS (SELECT scan_id, text, string_split(text, '') AS c FROM scan_results)
+SELECT scan_id, CASE WHEN text IS NULL THEN NULL WHEN text = '' THEN '' ELSE array_to_string(list_transform(range(1, len(c) + 1), lambda j: CASE WHEN {here} AND c[j + 1] IN (' ', chr(10)) THEN '' WHEN j > 1 AND c[j] = ' ' AND {before} THEN '' ELSE c[j] END), '') END AS text FROM t"""
+    wrap = rf"""WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN text[-1] = chr(10) THEN text[:-2] ELSE text END AS body FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS s, generate_subscripts(string_split(body, chr(10)), 1) AS ln FROM d),
+w AS (SELECT doc_id, ln, 0 AS k, CASE WHEN s[-1] = chr(13) THEN s[:-2] ELSE s END AS rest, NULL::VARCHAR AS chunk FROM l
+  UNION ALL SELECT doc_id, ln, k + 1, rest[a + 1:], regexp_replace(rest[1:a], '[\s\p{{Z}}]+$', '') FROM (SELECT *, CASE WHEN contains(h, ' ') THEN length(h) - strpos(reverse(h), ' ') + 1 ELSE length(h) END AS a
+    FROM (SELECT *, rest[1:list_max(list_filter(range(1, {pages.LINE_BYTES} + 1), lambda j: strlen(rest[1:j]) <= {pages.LINE_BYTES}))] AS h FROM w WHERE strlen(rest) > {pages.LINE_BYTES}))),
+c AS (SELECT doc_id, ln, k, chunk AS content FROM w WHERE chunk IS NOT NULL UNION ALL SELECT doc_id, ln, k + 1, rest FROM w WHERE strlen(rest) <= {pages.LINE_BYTES} AND (rest <> '' OR k = 0)),
+n AS (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY ln, k) - 1 AS i FROM c)
+SELECT doc_id, (i // {pages.PAGE_LINES})::INT AS page, (i % {pages.PAGE_LINES})::INT AS line, content FROM n"""
+    return {"clean_text": clean, "wrap_paginate": wrap}
+
+
 def oracle_sql() -> dict[str, str]:
-    sql = {_slug(r.name): f"WITH {_CORPUS} {_rule_sql(r)}" for r in rules.BUILT_IN}
+    sql = {_slug(r.name): f"WITH {_CORPUS}, {_ORDERS} {_rule_sql(r, 'more')}" if r.name in ON_ORDERS else f"WITH {_CORPUS} {_rule_sql(r)}" for r in rules.BUILT_IN}
     phone = _q(_by_name("Phone (US)").pattern)
     mail = _q(_by_name("Email").pattern)
     mails = f"WITH {_CORPUS}, m AS ({_spans_sql(mail)})"
     sql["phone_toll_free"] = f'WITH {_CORPUS} SELECT src, id, "start", matched_text, {_toll_free_sql("matched_text")} AS toll_free FROM ({_spans_sql(phone)})'
     sql["address_garbage"] = f"SELECT det_id, {_garbage_sql('matched_text')} AS garbage FROM detections WHERE entity_type = 'ADDRESS'"
     sql["rule_table"] = "SELECT * FROM (VALUES " + ", ".join(f"({_q(r.name)}, {_q(r.entity_type)}, {_q(r.pattern)}, true, true)" for r in rules.BUILT_IN) + ") AS t(name, entity_type, pattern, enabled, built_in)"
-    sql["custom_rule_scan"] = f"""WITH {_CORPUS}, r AS (SELECT name, pattern FROM rules WHERE enabled AND pattern IS NOT NULL AND NOT regexp_matches('', pattern)), t AS (SELECT src, id, text, name, pattern FROM corpus, r)
-SELECT src, id, name AS rule_name, "start", "end", matched_text FROM ({_spans_sql("pattern", "t", "src, id, name, pattern")})"""
+    # matches are marked in the text, as splitting by a pattern that can be empty would lose the places
+    sql["custom_rule_scan"] = rf"""WITH {_CORPUS}, r AS (SELECT name, pattern FROM rules WHERE enabled AND pattern IS NOT NULL),
+t AS (SELECT src, id, name, string_split(regexp_replace(text, pattern, chr(1) || '\0' || chr(2), 'g'), chr(1)) AS p FROM corpus, r WHERE text IS NOT NULL),
+m AS (SELECT src, id, name, p, unnest(range(2, len(p) + 1)) AS k FROM t),
+f AS (SELECT src, id, name AS rule_name, (list_sum(list_transform(p[1:k-1], lambda x: length(x))) - (k - 2))::INT AS "start", string_split(p[k], chr(2))[1] AS matched_text FROM m)
+SELECT src, id, rule_name, "start", ("start" + length(matched_text))::INT AS "end", matched_text FROM f WHERE matched_text <> ''"""
     sql["pattern_test"] = f"""WITH {_CORPUS} SELECT src, id, 'TEST' AS entity_type, "start", "end", matched_text FROM ({_spans_sql(_q(MEMBER))})"""
     every = _all_rules_sql()
     sql["detections_by_type"] = every + 'SELECT entity_type, rule_name, count(*) AS detections, count(DISTINCT matched_text) AS "values" FROM found GROUP BY 1, 2'
@@ -437,7 +536,27 @@ r AS (SELECT src, id, line, w, unnest(w) AS raw, generate_subscripts(w, 1) AS i
 p AS (SELECT src, id, line::INT AS line, regexp_replace(raw, '[[:punct:]]+$', '') AS word, CASE WHEN i = 1 THEN true ELSE regexp_matches(w[i-1], '[.!?]$') END AS sentence_start FROM r)
 SELECT src, id, line, word, regexp_matches(word, '^\p{{Lu}}') AND strlen(word) > 1 AS capitalised, regexp_matches(word, '^[A-Z]{{2,}}$') AS all_caps, sentence_start FROM p WHERE word <> ''"""
     sql["common_words"] = r"WITH w AS (SELECT unnest(regexp_extract_all(text, '\p{L}+')) AS w FROM documents) SELECT lower(w) AS word FROM w GROUP BY 1 HAVING count(*) FILTER (WHERE w = lower(w)) >= 3 AND 2 * count(*) FILTER (WHERE w = lower(w)) > count(*)"
-    sql["batch_summary"] = f"SELECT status, count(*) AS files, coalesce(sum(n), 0)::BIGINT AS detections FROM (SELECT n, CASE WHEN error IS NOT NULL THEN 'error' WHEN n = 0 THEN 'skipped' ELSE 'success' END AS status FROM (SELECT error, coalesce(len(regexp_extract_all(text, {mail})), 0) AS n FROM scan_results)) GROUP BY 1"
+    detected = _detected_sql()
+    sql["names_dictionary"] = f'WITH {_CORPUS}, {_names_sql()} SELECT src, id, "start", "end", entity_type, matched_text FROM named'
+    bytes_ = f', b AS (SELECT d.*, c.text, strlen(c.{head})::INT AS start_byte, (strlen(c.{head}) + strlen(d.matched_text))::INT AS end_byte FROM detected d JOIN corpus c ON d.src = c.src AND d.id = c.id)'
+    framed = f""", k AS (SELECT *, {head} AS a, {tail} AS z FROM b), n AS (SELECT *, {near('a', True)} AS ka, {near('z', False)} AS kb FROM k),
+r AS (SELECT *, CASE WHEN ka < length(a) THEN '...' ELSE '' END || right(a, ka) || matched_text || left(z, kb) || CASE WHEN kb < length(z) THEN '...' ELSE '' END AS context FROM n)"""
+    cols = 'matched_text, entity_type, rule_name, "start", "end"'
+    sql["detect_pii"] = f"{detected}{bytes_}{framed} SELECT src, id, {cols}, context, start_byte, end_byte FROM r"
+    sql["person_propagation"] = f"{detected}{bytes_} SELECT src, id, {cols}, start_byte, end_byte FROM b WHERE rule_name = 'Global match'"
+    item = """{'entity_type': entity_type, 'matched_text': matched_text, 'rule_name': rule_name, 'start': "start", 'end': "end", 'context': context}"""
+    sql["scan_report"] = f"""{detected}{bytes_}{framed}, g AS (SELECT id, to_json(list({item} ORDER BY "start"))::VARCHAR AS j FROM r WHERE src = 'file' GROUP BY id)
+SELECT scan_id, '{{"file":' || to_json(path)::VARCHAR || ',"detections":' || coalesce(j, '[]') || '}}' AS report FROM scan_results LEFT JOIN g ON g.id = scan_id"""
+    valued = _HASH.replace("mapping_id, original, entity_type", "original, entity_type").replace("FROM mappings WHERE original IS NOT NULL", "FROM (SELECT DISTINCT matched_text AS original, entity_type FROM detected)")
+    covered_ = f"{detected}, {valued}, v AS (SELECT original, entity_type, {by_type} AS cover FROM h)"
+    keyed = "said AS (SELECT src || id::VARCHAR AS key, text FROM corpus)"
+    inline = """, dc AS (SELECT d.src || d.id::VARCHAR AS key, d."start", d."end", v.cover FROM detected d JOIN v ON d.matched_text = v.original AND d.entity_type = v.entity_type)"""
+    sql["anonymise_texts"] = f"{covered_}{inline}, {keyed}, {_rewritten_sql('said', 'dc', 'key')} SELECT c.src, c.id, o.n AS detections, o.output_text FROM corpus c JOIN out o ON c.src || c.id::VARCHAR = o.key"
+    kept = """, dc AS (SELECT d.id AS key, d."start", d."end", coalesce(c.stored, v.cover) AS cover FROM detected d JOIN v ON d.matched_text = v.original AND d.entity_type = v.entity_type LEFT JOIN c ON c.original = d.matched_text
+  WHERE d.src = 'document' AND NOT EXISTS (SELECT 1 FROM ignored_entities i WHERE lower(i.text) = lower(d.matched_text))), said AS (SELECT doc_id AS key, text FROM documents)"""
+    sql["anonymise_with_stores"] = f"{covered_}, {current}{kept}, {_rewritten_sql('said', 'dc', 'key')} SELECT key AS doc_id, n AS accepted, output_text FROM out"
+    sql |= _page_sqls()
+    sql["batch_summary"] = every + f", s AS ({_merge_sql('found')}), q AS (SELECT id, count(*) AS n FROM s WHERE src = 'file' GROUP BY id) SELECT status, count(*) AS files, coalesce(sum(n), 0)::BIGINT AS detections FROM (SELECT coalesce(n, 0) AS n, CASE WHEN error IS NOT NULL THEN 'error' WHEN coalesce(n, 0) = 0 THEN 'skipped' ELSE 'success' END AS status FROM scan_results LEFT JOIN q ON q.id = scan_id) GROUP BY 1"
     sql["page_split"] = r"SELECT scan_id, unnest(p) AS page_text, (generate_subscripts(p, 1) - 1)::INT AS page FROM (SELECT scan_id, string_split(text, chr(10) || chr(10) || '--- Page Break ---' || chr(10) || chr(10)) AS p FROM scan_results)"
     nested = lambda c: (e := c) and [e := f"replace({e}, {_q(a)}, {_q(b)})" for a, b in CELL_PAIRS][-1]
     sql["cells_replaced"] = f"SELECT c_custkey, {nested('c_name')} AS c_name, {nested('c_mktsegment')} AS c_mktsegment FROM customer"
