@@ -77,10 +77,8 @@ def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        held = pa.Table.from_batches([batch])
-        con.register("held", held)
-        yield from con.execute(query).to_arrow_table().cast(OUT).to_batches()
-        con.unregister("held")
+        held = pa.Table.from_batches([batch])  # read by its name
+        yield from con.sql(query).to_arrow_table().cast(OUT).to_batches()
 
 
 OUT = pa.schema([("src", pa.string()), ("row_id", pa.int64()), ("plain", pa.string())])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -161,6 +162,41 @@ keyed AS (SELECT src, row_id, etype, CASE
 """
 
 
+#: Code points without width, as numbers: a second statement of what ``lookalikes.INVISIBLE`` says.
+_NO_WIDTH = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF)]
+
+
+def _plain_sql(values: str) -> str:
+    """The consistent form by joins: every value as rows of characters, each met by its plain form, and put together again.
+
+    What characters become is derived here from the Unicode data; only the pairs of look-alikes are the operator's.
+    """
+    code = lambda chars: ", ".join(f"({ord(c)}, {lookalikes._quoted(p)})" for c, p in chars)
+    compatible = []
+    for n in range(0x80, 0x110000):
+        c = chr(n)
+        plain = unicodedata.normalize("NFKC", c)
+        if unicodedata.category(c) == "Zs":
+            compatible.append((c, " "))
+        elif c in lookalikes.HYPHENS:
+            compatible.append((c, "-"))
+        elif 0xFB00 <= n <= 0xFB06 or (plain.isascii() and len(plain) == 1 and unicodedata.decomposition(c).startswith(("<wide>", "<narrow>", "<font>"))):
+            compatible.append((c, plain))
+    hidden = " OR ".join(f"code BETWEEN {a} AND {b}" for a, b in _NO_WIDTH)
+    script = r"[\p{Greek}\p{Cyrillic}ıɑɡ]"
+    return rf"""WITH v AS (SELECT DISTINCT value FROM ({values}) WHERE regexp_matches(value, '[^\x00-\x7F]')),
+simple(code, plain) AS (VALUES {code(compatible)}), alike(code, plain) AS (VALUES {code(lookalikes.LOOKALIKES.items())}),
+c AS (SELECT value, unnest(regexp_extract_all(value, '(?s).')) AS ch, generate_subscripts(regexp_extract_all(value, '(?s).'), 1) AS i FROM v),
+d AS (SELECT value, i, ch, unicode(ch) AS code FROM c),
+s AS (SELECT value, nfc_normalize(coalesce(string_agg(coalesce(plain, ch), '' ORDER BY i) FILTER (WHERE NOT ({hidden})), '')) AS s FROM d LEFT JOIN simple USING (code) GROUP BY value),
+w AS (SELECT value, s, unnest(regexp_extract_all(s, '[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}]+')) AS w, generate_subscripts(regexp_extract_all(s, '[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}]+'), 1) AS k FROM s),
+x AS (SELECT value, w, k, regexp_matches(w, '{script}') AND (regexp_matches(w, '\p{{Latin}}') OR (length(w) = 1 AND regexp_matches(s, '\p{{Latin}}'))) AS mixed FROM w),
+y AS (SELECT value, k, mixed, unnest(regexp_extract_all(w, '(?s).')) AS ch, generate_subscripts(regexp_extract_all(w, '(?s).'), 1) AS i FROM x),
+z AS (SELECT value, nfc_normalize(string_agg(CASE WHEN mixed THEN coalesce(plain, ch) ELSE ch END, '' ORDER BY k, i)) AS plain FROM y LEFT JOIN alike ON alike.code = unicode(y.ch) GROUP BY value),
+p AS (SELECT s.value, CASE WHEN s.s = '' THEN '' ELSE z.plain END AS plain FROM s LEFT JOIN z ON s.value = z.value)
+SELECT src, row_id, p.plain FROM ({values}) AS t JOIN p ON t.value = p.value WHERE p.plain <> t.value"""
+
+
 def oracle_sql() -> dict[str, str]:
     run, share = repetition.RUN, 0.3
     words = f"""
@@ -183,7 +219,7 @@ SELECT doc_id, kept_chars, all_chars, CASE WHEN all_chars > 0 THEN kept_chars /
     return {
         "p2_found": _KEYED + "SELECT src, first_id, row_id AS copy_id FROM (SELECT src, row_id, min(row_id) OVER (PARTITION BY src, etype, k) AS first_id FROM keyed) WHERE row_id <> first_id",
         "p2_records": _KEYED + "SELECT src, etype, min(row_id) AS first_id, count(*) AS copies FROM keyed GROUP BY src, etype, k",
-        "p6_found": f"SELECT src, row_id, plain FROM (SELECT src, row_id, value, {lookalikes.plain_sql('value')} AS plain FROM ({values}) AS v) WHERE plain <> value",
+        "p6_found": _plain_sql(values),
         "p7_found": "SELECT limit_id, doc_id FROM documents, pack_limits WHERE strlen(text) + 1 > capacity",
         "p7_totals": "SELECT limit_id, count(*) AS documents, sum(ceil((strlen(text) + 1) / capacity))::BIGINT AS pieces, sum(strlen(text) + 1)::BIGINT AS tokens, 0::BIGINT AS overfull FROM documents, pack_limits WHERE text IS NOT NULL GROUP BY limit_id",
         "p9_found": words + f"SELECT doc_id FROM t WHERE repeated_words >= {share} * words",
