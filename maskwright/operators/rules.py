@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.functions.text import context_of, match_spans, unicode_pattern
+from maskwright.functions.text import SPANS, context_of, let, match_spans, unicode_pattern
 
 DETECTION = "struct<start:int,end:int,matched_text:string,entity_type:string,rule_name:string,ord:int>"
 DETECTIONS = f"array<{DETECTION}>"
@@ -26,6 +28,8 @@ class Rule:
     created: datetime = field(default_factory=lambda: datetime(1970, 1, 1, tzinfo=timezone.utc))
     #: A cheap pattern that every text with a match also has.
     hint: str = ""
+    #: Lower-case words of which every text with a match has one, in any case.
+    words: tuple[str, ...] = ()
 
 
 _STATE_CODES = "AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|NM|NY|NC|ND|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VT|VA|WA|WV|WI|WY|DC"
@@ -36,16 +40,16 @@ BUILT_IN = (
     Rule("Phone (US)", "PHONE", r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", "phone number, toll-free ones excluded"),
     Rule("Email", "EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "mail address", hint="@"),
     Rule("Credit Card", "CREDIT_CARD", r"\b(?:4\d{3}|5[1-5]\d{2}|3[47]\d{2}|6(?:011|5\d{2}))[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b", "card number of sixteen digits"),
-    Rule("Account Number", "ACCOUNT_NUMBER", r"(?i)(?:account|acct)[\s#:]*(\d[\d\s-]{4,20}\d)", "number after an account label"),
+    Rule("Account Number", "ACCOUNT_NUMBER", r"(?i)(?:account|acct)[\s#:]*(\d[\d\s-]{4,20}\d)", "number after an account label", words=("account", "acct")),
     Rule("Long Number Sequence", "ACCOUNT_NUMBER", r"\b\d{8,20}\b", "eight to twenty digits in a row"),
     Rule("Street Address", "ADDRESS", r"(?im)^\d{1,5}\s+[A-Za-z0-9 ]+(?:ST|STREET|AVE|AVENUE|BLVD|BOULEVARD|DR|DRIVE|LN|LANE|RD|ROAD|CT|COURT|PL|PLACE|WAY|CIR|CIRCLE)\b[, ]*(?:(?:APT|SUITE|STE|UNIT|#)\s*[A-Za-z0-9]*)?", "street line"),
     Rule("City State Zip", "ADDRESS", rf"(?i)\b[A-Z][A-Za-z ]+,?\s+(?:{_STATE_CODES})\s+\d{{5}}(?:-\d{{4}})?\b", "city, state and postal code", hint=r"\s\d{5}"),
-    Rule("Date of Birth", "DATE_OF_BIRTH", r"(?i)(?:d\.?o\.?b\.?|date of birth|born|birthday)[\s:]*(\d{1,2}[/\-\.]\d{1,2}[/\-\.]\d{2,4})", "date after a birth label"),
-    Rule("Passport Number", "ID_DOCUMENT", r"(?i)(?:passport)[\s#:]*([A-Z0-9]{6,9})", "passport number"),
-    Rule("Driver's License", "ID_DOCUMENT", r"(?i)(?:driver'?s?\s*(?:license|licence|lic)|DL)[\s#:]*([A-Z0-9]{4,15})", "driving licence number"),
+    Rule("Date of Birth", "DATE_OF_BIRTH", r"(?i)(?:d\.?o\.?b\.?|date of birth|born|birthday)[\s:]*(\d{1,2}[/\-\.]\d{1,2}[/\-\.]\d{2,4})", "date after a birth label", words=("dob", "d.ob", "do.b", "d.o.b", "date of birth", "born", "birthday")),
+    Rule("Passport Number", "ID_DOCUMENT", r"(?i)(?:passport)[\s#:]*([A-Z0-9]{6,9})", "passport number", words=("passport",)),
+    Rule("Driver's License", "ID_DOCUMENT", r"(?i)(?:driver'?s?\s*(?:license|licence|lic)|DL)[\s#:]*([A-Z0-9]{4,15})", "driving licence number", words=("driver", "dl")),
     Rule("Routing Number", "ACCOUNT_NUMBER", r"(?i)(?:routing|aba|ach)[\s#:]*(\d{9})\b", "bank routing number", hint=r"\d{9}"),
     Rule("ITIN", "SSN", r"\b9\d{2}-\d{2}-\d{4}\b", "taxpayer number"),
-    Rule("Medicare/Insurance ID", "ID_DOCUMENT", r"(?i)(?:medicare|medicaid|member|subscriber|policy|group)[\s#:]*(?:id|number|no)?[\s#:]*([A-Z0-9]{6,15})", "insurance number"),
+    Rule("Medicare/Insurance ID", "ID_DOCUMENT", r"(?i)(?:medicare|medicaid|member|subscriber|policy|group)[\s#:]*(?:id|number|no)?[\s#:]*([A-Z0-9]{6,15})", "insurance number", words=("medicare", "medicaid", "member", "subscriber", "policy", "group")),
 )
 BUILT_IN = tuple(replace(r, built_in=True) for r in BUILT_IN)
 
@@ -123,11 +127,21 @@ def is_garbage_address(address: Column) -> Column:
     return address.rlike(r"[^\x00-\x7F]") | (odd * 2 > F.length(address))
 
 
-def rule_spans(text: Column, rule: Rule, order: int = 0) -> Column:
-    """Detections of one rule; the whole match is the span, labels included."""
+def lowered(text: Column) -> Column:
+    """The text in lower case, with the one letter that case-blind patterns take for an "s" and lower case leaves alone."""
+    return F.translate(F.lower(text), "\u017f", "s")
+
+
+def rule_spans(text: Column, rule: Rule, order: int = 0, low: Column | None = None) -> Column:
+    """Detections of one rule; the whole match is the span, labels included. ``low`` is ``lowered(text)`` if it is at hand."""
     spans = match_spans(text, rule.pattern)
-    if rule.hint:
-        spans = F.when(text.rlike(unicode_pattern(rule.hint)), spans).when(text.isNotNull(), F.array().cast("array<struct<start:int,end:int,matched_text:string>>"))
+    some = text.rlike(unicode_pattern(rule.hint)) if rule.hint else None
+    if rule.words:
+        low = lowered(text) if low is None else low
+        has = reduce(or_, (low.contains(w) for w in rule.words))
+        some = has if some is None else has & some
+    if some is not None:
+        spans = F.when(some, spans).when(text.isNotNull(), F.array().cast(SPANS))
     if rule.entity_type == "PHONE":
         spans = F.filter(spans, lambda s: ~is_toll_free(s["matched_text"]))
     elif rule.entity_type == "ADDRESS":
@@ -138,7 +152,7 @@ def rule_spans(text: Column, rule: Rule, order: int = 0) -> Column:
 
 def scan_rules(text: Column, rules: tuple[Rule, ...] = BUILT_IN) -> Column:
     """Detections of all enabled rules in order of start, at one start in the order of the rules. Null text gives null."""
-    found = F.concat(*(rule_spans(text, r, i) for i, r in enumerate(rules) if r.enabled))
+    found = let(lowered(text), lambda low: F.concat(*(rule_spans(text, r, i, low) for i, r in enumerate(rules) if r.enabled)))
     key = lambda d: F.struct(d["start"], d["ord"], d["end"], d["matched_text"], d["entity_type"], d["rule_name"])
     back = lambda k: F.struct(k["start"], k["end"], k["matched_text"], k["entity_type"], k["rule_name"], k["ord"])
     return F.transform(F.array_sort(F.transform(found, key)), back)

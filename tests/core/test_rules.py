@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from maskwright.functions.text import context_of, from_utf16_offset, utf16_offset
+from maskwright.functions.text import context_of, from_utf16_offset, match_spans, utf16_offset
 from maskwright.operators import rules
 
 
@@ -124,3 +124,14 @@ def test_hints_see_the_characters_that_the_patterns_see(spark):
     found = df.select(rules.scan_rules(F.col("a")).alias("a"), rules.scan_rules(F.col("b")).alias("b"), rules.test_pattern(F.col("b"), zip_rule.pattern).alias("raw")).first()
     assert ("Routing Number", f"routing {number}") in [(d["rule_name"], d["matched_text"]) for d in found["a"]]
     assert found["b"] == [] and [d["matched_text"] for d in found["raw"]] == ["Salem, OR\u00a097301"]
+
+
+def test_words_are_implied_by_a_match(spark):
+    """Every rule with words finds its matches in any letter case, the long s and the Kelvin sign included."""
+    texts = ["PASSPORT X1234567", "pa\u017f\u017fport X1234567", "Acct 123456", "born 1/2/1999", "D.O.B. 1/2/1999", "do.b 1/2/1999", "dl A12345", "DRIVER'S LIC A12345", "Policy no ABC1234", "SUB\u017fCRIBER id ABC1234", "BIRTHDAY: 01.02.99", "Account # 1234 5678"]
+    worded = {r.name: r for r in rules.BUILT_IN if r.words}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in worded.values():
+        got = [x[0] for x in df.select(F.size(rules.rule_spans(F.col("t"), r))).collect()]
+        want = [x[0] for x in df.select(F.size(match_spans(F.col("t"), r.pattern))).collect()]
+        assert got == want and sum(want), r.name
