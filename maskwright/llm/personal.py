@@ -189,8 +189,9 @@ def name_candidates(text: str, prior: frozenset[str] = GIVEN) -> list[tuple[int,
     name = lambda i: i < n and len(low[i]) > 1 and low[i] not in TITLES
     out: list[tuple[int, int, str, str]] = []
     taken = -1  # last word of a full name
-    for i, w in enumerate(low):
-        j = i + 1
+    marks = [i for i in range(n) if given[i] or len(low[i]) == 1 or low[i] in TITLES]
+    for i in sorted({*marks, *(i - 1 for i in marks if i)}):  # no other word can begin a group
+        w, j = low[i], i + 1
         if given[i] and not ends(i):
             while initial(j) and space(j - 1):
                 j += 1
