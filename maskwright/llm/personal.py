@@ -283,7 +283,7 @@ def _read(prior: frozenset[str]):
 
         for batch in batches:
             rows: list[tuple] = []
-            for src, row_id, text, inside, etype in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for src, row_id, text, inside, etype, own in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if etype == "PERSON" and inside:  # a value known to be a person: its last word, or the one before a comma
                     known = terms_of(inside.split(",")[0])
                     if known:
@@ -313,7 +313,10 @@ def _read(prior: frozenset[str]):
                 for a, b, first, term in pairs:
                     if text[a:b] not in have:
                         have.add(text[a:b])
-                        rows.append((src, row_id, a, "PAIR", text[a:b], term, first, 0, 0))
+                        # where a sentence, or a line caught whole, begins, any word is capitalised: no evidence
+                        ahead = rest[max(0, a - 40) : a].rstrip()[-1:]
+                        inner = (ahead.islower() or ahead == ",") and not (own and text.startswith(own, a))
+                        rows.append((src, row_id, a, "PAIR", text[a:b], term, first, 0, int(inner)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), FOUND)], schema=FOUND)
             if len(seen) > MAX_TERMS:
@@ -328,20 +331,20 @@ def personal_values(texts: DataFrame, threshold: float = DISCLOSURE, prior: froz
     """(src, row_id, start, kind, value) of ``texts(src, row_id, text, inside)``; ``inside`` is left out of the text.
 
     One row per distinct value of a text and kind. Null and empty texts give no row. A column ``etype`` says what
-    ``inside`` is; persons among them are evidence. ``prior`` are given names taken for such without evidence.
+    ``inside`` is; persons among them are evidence. A column ``own`` holds a value that isn't left out, but begins anew as a
+    sentence does. ``prior`` are given names taken for such without evidence.
     """
-    if "etype" not in texts.columns:
-        texts = texts.withColumn("etype", F.lit(None).cast("string"))
-    held = texts.where("text IS NOT NULL").select("src", F.col("row_id").cast("bigint").alias("row_id"), "text", "inside", "etype")
+    texts = texts.withColumns({c: F.lit(None).cast("string") for c in ("etype", "own") if c not in texts.columns})
+    held = texts.where("text IS NOT NULL").select("src", F.col("row_id").cast("bigint").alias("row_id"), "text", "inside", "etype", "own")
     read = cut(held.mapInArrow(_read(prior), FOUND_DDL))
     terms = cut(read.where("kind = 'TERM'").groupBy("term").agg(F.sum("seen").alias("seen"), F.sum("beside").alias("beside")))
     total = terms.agg(F.sum("seen").alias("seen"), F.sum("beside").alias("beside")).first()
     p_beside = max(1, total["beside"] or 0) / max(1, total["seen"] or 0)
     above = lambda of, beside: of.where(disclosure(F.col("seen"), F.col(beside), p_beside) >= threshold)
     families = above(terms, "beside").select("term")
-    pairs = read.where("kind = 'PAIR'").select("src", "row_id", "start", "value", "term", "first")
+    pairs = read.where("kind = 'PAIR'").select("src", "row_id", "start", "value", "term", "first", "beside")
     # given names: what stands before family names; further family names: what stands after given names
-    before = pairs.where("NOT value LIKE '%,%'").join(families, "term", "left_semi").groupBy("first").agg(F.count("*").alias("n")).where("n > 1")
+    before = pairs.where("beside = 1 AND NOT value LIKE '%,%'").join(families, "term", "left_semi").groupBy("first").agg(F.count("*").alias("n")).where("n > 1")
     givens = cut(above(before.join(terms.select(F.col("term").alias("first"), "seen"), "first"), "n").select("first"))
     likely = cut(pairs.join(givens, "first", "left_semi"))
     after = likely.groupBy("term").agg(F.count("*").alias("n")).join(terms.select("term", "seen"), "term")
@@ -434,7 +437,7 @@ def redacted_texts(texts: DataFrame, threshold: float = DISCLOSURE, prior: froze
     """
     if "etype" not in texts.columns:
         texts = texts.withColumn("etype", F.lit(None).cast("string"))
-    values = cut(personal_values(texts.withColumn("inside", F.when(F.col("etype") == "ORG", F.col("inside"))), threshold, prior))
+    values = cut(personal_values(texts.withColumn("own", F.col("inside")).withColumn("inside", F.when(F.col("etype") == "ORG", F.col("inside"))), threshold, prior))
     row = F.xxhash64("src", "row_id")
     concerned = passes(value_filter(values.select(row.alias("h")), "h"), row)
     found = values.groupBy("src", "row_id").agg(F.collect_list(F.struct("kind", "value")).alias("found"))

@@ -167,3 +167,13 @@ def test_no_known_value_survives(spark, small):
     alone = lambda value, text: re.search(rf"(?<![^\W_]){re.escape(value)}(?![^\W_])", text)
     assert len(own) > 300 and not [k for k, v in own.items() if v in out[k]]
     assert not [(k, v) for k, vs in found.items() for v in vs if alone(v, out[k])]
+
+
+def test_words_that_begin_sentences_are_no_given_names(spark):
+    """A verb that stands before names only, and always as the first word, stays outside of them."""
+    rows = [("text", i, f"{PROSE} At noon Dr. {f} came. Reach {f} at once.\nReach {g[0]}. {f} there", None, None) for i, (g, f) in enumerate((g, f) for g in GIVENS for f in FAMILIES)]
+    rows += [("context", 100 + i, f"...{PROSE} Reach {f} today.", f"Reach {f} today.", "FREE_TEXT") for i, f in enumerate(FAMILIES)]
+    frame = spark.createDataFrame(rows, SCHEMA + ", etype string")
+    got = {r["value"] for r in personal_values(frame).where("kind = 'PERSON'").collect()}
+    assert got == {f"{g[0]}. {f}" for g in GIVENS for f in FAMILIES}
+    assert not any("[PERSON] today" in r["redacted"] or "Reach [PERSON] at" in r["redacted"] for r in redacted_texts(frame).collect())
