@@ -37,3 +37,16 @@ def test_lines(spark):
     assert got[11] == (11, False) and 12 not in got and got[13] == (0, False) and got[14] == (1, False)
     assert not any(got[20 + i][1] for i in range(9))  # whole copies count once
     assert line_frequency(df.where("false")).count() == 0
+
+
+def test_hot_lines_and_planted_rejections(spark):
+    """A line that a third of all documents have, a menu that fills whole documents, and blank lines everywhere."""
+    menu = "\n".join(f"menu entry {c} of the house" for c in "abcdef")
+    rows = [(i, f"host{i % 2}", f"The Hot Line  {i}\n\nown words {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} of this one text" if i % 3 == 0 else f"\n\nnothing {'abcdefghij'[i % 10]} shared {'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]} here") for i in range(300)]
+    rows += [(1000 + i, "host0", f"{menu}\nshort {'abcdefgh'[i]}") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = {r["doc_id"]: r for r in line_frequency(df).collect()}
+    assert {d for d, r in got.items() if r["rejected"]} == {1000 + i for i in range(8)}
+    assert all(got[i]["all_chars"] - got[i]["kept_chars"] == len(f"The Hot Line  {i}") for i in range(0, 300, 3))
+    assert all(got[i]["all_chars"] == got[i]["kept_chars"] for i in range(300) if i % 3)
+    assert {r["doc_id"]: r["rejected"] for r in line_frequency(df, salts=1).collect()} == {d: r["rejected"] for d, r in got.items()}
